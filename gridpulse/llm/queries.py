@@ -9,6 +9,7 @@ from gridpulse.llm.addresses import same_location
 from gridpulse.llm.conversations import conversations
 from gridpulse.llm.leakage import leaks
 from gridpulse.llm.places import mapped
+from gridpulse.llm.subjects import subjects
 from gridpulse.llm.tokens import encoded
 from gridpulse.llm.visible import look_same
 from gridpulse.sources.tables import table
@@ -41,7 +42,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "pruebas"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects(*(table(spark, d, name) for name in ("documents", "etiquetas", "areas", "pruebas")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 SQL = {
     "p5_found": r"""

@@ -10,12 +10,21 @@ _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 
 
+class _Folding(dict):
+    """Each character's folded form, worked out when first met."""
+
+    def __missing__(self, code: int) -> str:
+        plain = unicodedata.normalize("NFKD", chr(code))
+        self[code] = form = "".join(ch for ch in plain if unicodedata.category(ch) not in ("Mn", "Cf"))
+        return form
+
+
+_FOLDING = _Folding()
+
+
 def fold(text: str) -> str:
     """Lower case, compatibility forms folded, accents and invisible characters dropped."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower())
-    return "".join(ch for ch in text if ch.isascii() or unicodedata.category(ch) not in ("Mn", "Cf"))
+    return text.lower() if text.isascii() else text.lower().translate(_FOLDING)
 
 
 def words(text: str | None) -> list[str]:
