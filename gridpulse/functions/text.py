@@ -361,3 +361,8 @@ def street_tokens(text: Column) -> Column:
     """Distinct tokens that can tell streets apart."""
     found = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda w: ~w.isin(*STREET_STOPS) & ((F.length(w) > 2) | w.rlike("^[0-9]+$"))))
+
+
+def code_words(text: Column) -> Column:
+    """Words of the text that have the shape of a lettered circuit code."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[A-Z]{1,3}[0-9]{1,4}$"))
