@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,10 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what} has more than {most} rows; raise the bound or use a distributed join")
     return rows
+
+
+def small(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df marked for broadcast after a check of its size; a table beyond the bound is an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what} has more than {most} rows and can't be broadcast")
+    return F.broadcast(df)
