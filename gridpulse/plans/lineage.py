@@ -39,3 +39,12 @@ def small(df: DataFrame, most: int, what: str) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"{what} has more than {most} rows and can't be broadcast")
     return F.broadcast(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for steps that cost far more time than bytes.
+
+    A scan that already has that many stays as it is, so only inputs of a few splits are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
