@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.words import fold
-from gridpulse.plans.lineage import bounded_rows
+from gridpulse.plans.lineage import bounded_rows, spread
 
 SHARE = 0.25
 #: Bound of the labelled sample the model is fitted on: the documents with the least hash of their id.
-LABELLED = 12_000
+LABELLED = 4_000
 MOST_AREAS, MOST_ITEMS = 500, 20_000
 ROUNDS_LABELLED, ROUNDS_ALL = 4, 2
 ALPHA = 0.1
@@ -86,6 +86,10 @@ def passages(texts: list[str | None]) -> Passages:
     return found
 
 
+#: Feature ids of sentences in a row, where each sentence begins, and its document's number.
+Known = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
     areas: list[str]
@@ -139,7 +143,7 @@ def softmax(scores: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def add_counts(counts: np.ndarray, model: Model, known: tuple[np.ndarray, np.ndarray, np.ndarray], n_docs: int, prior: np.ndarray | None) -> None:
+def add_counts(counts: np.ndarray, model: Model, known: Known, n_docs: int, prior: np.ndarray | None) -> None:
     """One E step: the expected counts of features in classes, added in place. prior: a row for each document."""
     ids, starts, owner = known
     if not len(starts):
@@ -157,7 +161,8 @@ def add_counts(counts: np.ndarray, model: Model, known: tuple[np.ndarray, np.nda
         counts[:, c] += np.bincount(ids, weights=p[:, c], minlength=len(counts))
 
 
-def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], known: Passages) -> tuple[Model, list, np.ndarray]:
+def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], known: Passages) -> tuple[Model, Known, np.ndarray]:
+    """The model, the feature ids of the labelled sentences and the documents' priors."""
     docs = [known.plain(t) for t in texts]
     seen: Counter[str] = Counter(f for ss in docs for ws in ss for f in set(features(ws)))
     least = 2 if len(docs) > 50 else 1
@@ -169,17 +174,19 @@ def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], kno
     k = len(areas)
     model = Model(areas, vocabulary, np.zeros((len(vocabulary), k + 1)), np.ones(k), np.zeros(k))
     known_features = model.known(docs)
+    del docs, seen
     for _ in range(1 + ROUNDS_LABELLED):
         counts = np.zeros((len(vocabulary), k + 1))
         if vocabulary:
-            add_counts(counts, model, known_features, len(docs), prior)
+            add_counts(counts, model, known_features, len(prior), prior)
             model.weights = complement_weights(counts)
-    return model, docs, prior
+    return model, known_features, prior
 
 
-def calibrate(model: Model, docs: list, prior: np.ndarray) -> None:
+def calibrate(model: Model, known: Known, prior: np.ndarray) -> None:
     """Platt scaling of each area's margin against the posterior that knows the document's labels."""
-    scores, owner = model.scores(docs)
+    ids, starts, owner = known
+    scores = model.summed(ids, starts)
     if not len(owner):
         return
     target, margin = softmax(TEMPER * scores, prior[owner])[:, :-1], model.margins(scores)
@@ -211,7 +218,7 @@ def refined(model: Model, documents: DataFrame, column: str, known: Passages) ->
         yield pd.DataFrame({"f": used, **{f"c{i}": counts[used, i] for i in range(k)}})
 
     shape = "f long, " + ", ".join(f"c{i} double" for i in range(k))
-    summed = documents.where(F.col(column).isNotNull()).select(column).mapInPandas(expect, shape).groupBy("f").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
+    summed = spread(documents.where(F.col(column).isNotNull()).select(column)).mapInPandas(expect, shape).groupBy("f").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
     counts = np.zeros((len(model.vocabulary), k))
     for r in bounded_rows(summed, len(model.vocabulary), "the model's vocabulary"):
         counts[r[0]] = r[1:]
@@ -223,11 +230,11 @@ def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: Dat
     known = passages([r[0] for r in bounded_rows(items.select("texto").distinct(), MOST_ITEMS, "the evaluation items")])
     own = labels.where(F.col(key).isNotNull() & F.col("area").isin(names)).groupBy(key).agg(F.collect_set("area").alias("__own"))
     sample = own.join(documents.where(F.col(column).isNotNull()).select(key, column), key).orderBy(F.xxhash64(key), key).limit(labelled).collect()
-    model, docs, prior = fit_labelled([r[column] for r in sample], [set(r["__own"]) for r in sample], names, known)
+    model, features_of, prior = fit_labelled([r[column] for r in sample], [set(r["__own"]) for r in sample], names, known)
     if model.vocabulary:
         for _ in range(ROUNDS_ALL):
             model = refined(model, documents, column, known)
-    calibrate(model, docs, prior)
+    calibrate(model, features_of, prior)
     return model, known
 
 
@@ -258,7 +265,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, it
                 out += [(keys[n], m.areas[c], k, k / total[n]) for (n, c), k in tally.items()]
             yield pd.DataFrame(out, columns=[key, "area", "sentences", "share"]).astype({key: "int64"})
 
-    return documents.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column).mapInPandas(classify, f"{key} long, area string, sentences long, share double")
+    return spread(documents.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column)).mapInPandas(classify, f"{key} long, area string, sentences long, share double")
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, **how) -> DataFrame:
