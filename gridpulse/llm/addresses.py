@@ -13,7 +13,7 @@ Missing components
     * a missing municipality is taken from the barrio, then from the record's own municipality column;
     * a record that still has none (rule "floating") joins the one municipality in which the whole input has its street
       and number (or corner); if several have it, the municipality in which that street crosses one of the record's
-      cross streets decides; if that leaves none or several, the record stays apart;
+      cross streets decides; if none does, the one municipality whose records name no cross street; else it stays apart;
     * a building without a barrio, a street alone, a stretch ("desde .. hasta", "entre" without number), an area or a
       vague text denote no location.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.words import fold
-from gridpulse.plans.lineage import bounded_rows, settled
+from gridpulse.plans.lineage import bounded_rows, settled, spread
 
 # Abbreviations of Spanish street addresses.
 STREET_TYPES = {
@@ -340,7 +340,7 @@ def components(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
                     out.append((key, *(found[c] for c in ("kind", "street", "number", "other", "barrio", "town", "crossings"))))
             yield pd.DataFrame(out, columns=["id", "kind", "street", "number", "other", "barrio", "town", "crossings"])
 
-    return records.where("id IS NOT NULL AND direccion IS NOT NULL").select("id", "direccion", "town").distinct().mapInPandas(run, f"id long, {PARSED}")
+    return spread(records.where("id IS NOT NULL AND direccion IS NOT NULL").select("id", "direccion", "town")).mapInPandas(run, f"id long, {PARSED}").distinct()
 
 
 def spelling(names: DataFrame) -> DataFrame:

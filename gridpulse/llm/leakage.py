@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.words import words
-from gridpulse.plans.lineage import bounded_rows
+from gridpulse.plans.lineage import bounded_rows, spread
 
 LENGTH = 12
 MOST_ITEMS = 20_000
@@ -36,7 +36,7 @@ def frequencies(documents: DataFrame, column: str, vocabulary: frozenset[str]) -
                     seen.update(wanted.intersection(words(t)))
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"word": "object", "n": "int64"})
 
-    counted = documents.where(F.col(column).isNotNull()).select(column).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = spread(documents.where(F.col(column).isNotNull()).select(column)).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word: r.n for r in bounded_rows(counted, len(vocabulary), "the items' vocabulary")}
 
 
@@ -76,5 +76,5 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", column: s
                 found += sorted(hit)
             yield pd.DataFrame({key: docs, "item_id": found}).astype({key: "int64", "item_id": "int32"})
 
-    rows = documents.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column)
+    rows = spread(documents.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column))
     return rows.mapInPandas(join, f"{key} long, item_id int").distinct()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.addresses import LEADS, LINK, TAILS, Fuzzy, barrio_parts, within_one
 from gridpulse.llm.words import fold
-from gridpulse.plans.lineage import bounded_rows
+from gridpulse.plans.lineage import bounded_rows, spread
 
 MOST_ENTRIES = 50_000
 NONE = -1
@@ -143,6 +143,6 @@ def mapped(values: DataFrame, key: str, column: str, entries: DataFrame) -> Data
 
     # \p{Z} and the like: a value of odd spaces only is blank
     visible = F.regexp_replace(F.col(column), r"[\s\p{Z}\p{Cf}\p{Cc}]+", "") != ""
-    found = values.where(F.col(key).isNotNull() & F.col(column).isNotNull() & visible).select(F.col(key).alias("k"), F.col(column).alias("v")).mapInPandas(run, "k long, barrio_id int")
+    found = spread(values.where(F.col(key).isNotNull() & F.col(column).isNotNull() & visible).select(F.col(key).alias("k"), F.col(column).alias("v"))).mapInPandas(run, "k long, barrio_id int")
     best = F.coalesce(F.min(F.when(F.col("barrio_id") != NONE, F.col("barrio_id"))), F.lit(NONE))
     return found.groupBy(F.col("k").alias(key)).agg(best.cast("int").alias("barrio_id"))

@@ -34,8 +34,8 @@ BACKGROUND, UNLABELLED = 0.5, 0.02
 TEMPER = 0.5
 PASSAGE = 5
 
-_PREFIX = re.compile(r"^\W*(?:\[\d{1,2}:\d{2}\]\s*\w+:|\d{1,3}[.)]\s)?\s*")
-_BREAK = re.compile(r"(?<=[.!?;])\s+|[\r\n]+")
+_PREFIX = re.compile(r"^[^\w\[]*(?:\[\d{1,2}:\d{2}\]\s*\w+:\s*|\d{1,3}[.)]\s+)?")
+_LINE, _STOP = re.compile(r"[\r\n]+"), re.compile(r"(?<=[.!?;])\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -44,9 +44,10 @@ def sentences(text: str | None) -> list[list[str]]:
     if not text:
         return []
     out = []
-    for raw in _BREAK.split(text):
-        if ws := _WORD.findall(fold(_PREFIX.sub("", raw))):
-            out.append(ws)
+    for line in _LINE.split(fold(text)):
+        for raw in _STOP.split(_PREFIX.sub("", line)):
+            if ws := _WORD.findall(raw):
+                out.append(ws)
     return out
 
 
@@ -76,7 +77,7 @@ class Passages:
 def passages(texts: list[str | None]) -> Passages:
     found = Passages(set(), set())
     for text in texts:
-        for raw in _BREAK.split(text or ""):
+        for raw in _STOP.split(text or ""):
             marked = [(fold(m.group()), m.group().isdigit() or (m.start() > 1 and m.group()[0].isupper())) for m in _WORD.finditer(raw)]
             for i in range(len(marked) - PASSAGE + 1):
                 run = marked[i : i + PASSAGE]

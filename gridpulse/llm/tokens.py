@@ -16,6 +16,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridpulse.plans.lineage import spread
+
 VOCABULARY = os.environ.get("GRIDPULSE_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges; it belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -112,4 +114,4 @@ def encoded(documents: DataFrame, key: str = "doc_id", column: str = "text", voc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(lists, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, column).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, column)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
