@@ -32,14 +32,14 @@ def token_matches(queries: DataFrame, q_key: str, q_text: Column, entries: DataF
     s1 is the shared tokens over the smaller set, s2 over both sets. Accepted if s1 is at least `least` and s1 is
     `dominance` times the second's, or s1 ties and s2 dominates. Fewer than two tokens match nothing.
     """
-    q = queries.select(F.col(q_key), t.street_tokens(q_text).alias("a")).where(F.size("a") >= 2).withColumn("na", F.size("a"))
-    e = entries.select(F.col(e_key), t.street_tokens(e_text).alias("b")).where(F.size("b") >= 1).withColumn("nb", F.size("b"))
-    shared = q.select(q_key, "na", F.explode("a").alias("w")).join(e.select(e_key, "nb", F.explode("b").alias("w")), "w").groupBy(q_key, e_key, "na", "nb").agg(F.count("*").alias("i"))
-    scored = shared.select(q_key, e_key, (F.col("i") / F.least("na", "nb")).alias("s1"), (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("s2"))
+    q = queries.select(F.col(q_key), t.street_tokens(q_text).alias("__a")).where(F.size("__a") >= 2).withColumn("__na", F.size("__a"))
+    e = entries.select(F.col(e_key), t.street_tokens(e_text).alias("__b")).where(F.size("__b") >= 1).withColumn("__nb", F.size("__b"))
+    shared = q.select(q_key, "__na", F.explode("__a").alias("__w")).join(e.select(e_key, "__nb", F.explode("__b").alias("__w")), "__w").groupBy(q_key, e_key, "__na", "__nb").agg(F.count("*").alias("__i"))
+    scored = shared.select(q_key, e_key, (F.col("__i") / F.least("__na", "__nb")).alias("s1"), (F.col("__i") / (F.col("__na") + F.col("__nb") - F.col("__i"))).alias("s2"))
     rank = F.row_number().over(Window.partitionBy(q_key).orderBy(F.col("s1").desc(), F.col("s2").desc(), F.col(e_key).desc()))
-    top = scored.withColumn("n", rank).where("n <= 2").groupBy(q_key).agg(
-        F.max(F.when(F.col("n") == 1, F.col(e_key))).alias(e_key),
-        *[F.coalesce(F.max(F.when(F.col("n") == n, F.col(s))), F.lit(0.0)).alias(f"{s}_{n}") for n in (1, 2) for s in ("s1", "s2")],
+    top = scored.withColumn("__n", rank).where("__n <= 2").groupBy(q_key).agg(
+        F.max(F.when(F.col("__n") == 1, F.col(e_key))).alias(e_key),
+        *[F.coalesce(F.max(F.when(F.col("__n") == n, F.col(s))), F.lit(0.0)).alias(f"{s}_{n}") for n in (1, 2) for s in ("s1", "s2")],
     )
     clear = (F.col("s1_1") / F.greatest("s1_2", F.lit(1e-9)) >= dominance) | ((F.col("s1_1") == F.col("s1_2")) & (F.col("s2_1") / F.greatest("s2_2", F.lit(1e-9)) >= dominance))
     return top.where((F.col("s1_1") >= least) & clear).select(q_key, e_key, F.round("s1_1", 2).alias("s1"))
