@@ -34,21 +34,24 @@ BACKGROUND, UNLABELLED = 0.5, 0.02
 TEMPER = 0.5
 PASSAGE = 5
 
-_PREFIX = re.compile(r"^[^\w\[]*(?:\[\d{1,2}:\d{2}\]\s*\w+:\s*|\d{1,3}[.)]\s+)?")
-_LINE, _STOP = re.compile(r"[\r\n]+"), re.compile(r"(?<=[.!?;])\s+")
+_PREFIX = re.compile(r"(?m)^[^\w\[\n]*(?:\[\d{1,2}:\d{2}\][^\S\n]*\w+:[^\S\n]*|\d{1,3}[.)][^\S\n]+)")
+_STOP = re.compile(r"(?<=[.!?;])\s+|\n+")
+#: A word, or the end of a sentence.
+_PIECE = re.compile(r"[^\W\d_]+|[.!?;](?=\s)|\n")
+_ENDS = {end: -2 for end in ".!?;\n"}
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
+def clean(text: str) -> str:
+    """Folded, one kind of line end, without list numbers and speakers."""
+    return _PREFIX.sub("", fold(text).replace("\r", "\n"))
+
+
 def sentences(text: str | None) -> list[list[str]]:
     """The folded words of each sentence; line marks, list numbers and speakers are no part of one."""
     if not text:
         return []
-    out = []
-    for line in _LINE.split(fold(text)):
-        for raw in _STOP.split(_PREFIX.sub("", line)):
-            if ws := _WORD.findall(raw):
-                out.append(ws)
-    return out
+    return [ws for raw in _STOP.split(clean(text)) if (ws := _WORD.findall(raw))]
 
 
 def features(ws: list[str]) -> list[str]:
@@ -98,28 +101,76 @@ class Model:
     weights: np.ndarray  # features x (areas + background): minus log of the complement's share
     slope: np.ndarray
     shift: np.ndarray
-
-    def known(self, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature ids of all sentences in a row, where each sentence begins, and its document's number."""
-        ids, starts, owner = [], [], []
-        get = self.vocabulary.get
-        for n, ss in enumerate(docs):
-            for ws in ss:
-                found = [i for f in features(ws) if (i := get(f)) is not None]
-                if found:
-                    starts.append(len(ids))
-                    owner.append(n)
-                    ids += found
-        return np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64), np.array(owner, dtype=np.int64)
+    _lexicon: tuple | None = None
+
+    def lexicon(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Numbers of words, and the sorted keys of pairs of them with their feature ids."""
+        if self._lexicon is None:
+            numbers: dict[str, int] = {}
+            for f in self.vocabulary:
+                for w in f.split(" "):
+                    numbers.setdefault(w, len(numbers))
+            single = np.full(len(numbers), -1, dtype=np.int64)
+            pairs = []
+            for f, i in self.vocabulary.items():
+                ws = f.split(" ")
+                if len(ws) == 1:
+                    single[numbers[f]] = i
+                else:
+                    pairs.append((numbers[ws[0]] << 32 | numbers[ws[1]], i))
+            pairs.sort()
+            keys = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+            self._lexicon = {**numbers, **_ENDS}, single, keys[:, 0].copy(), keys[:, 1].copy()
+        return self._lexicon
+
+    def known(self, texts: list[str | None], quotes: Passages) -> Known:
+        """Feature ids of all sentences in a row, where each sentence begins, and its document's number.
+
+        Words are looked up one by one, pairs all at once by their numbers. Only texts that hold a name of an evaluation
+        item are looked at sentence by sentence, to leave out those that quote one.
+        """
+        numbers, single, pair_keys, pair_ids = self.lexicon()
+        get, names = numbers.get, quotes.marks
+        flat: list[int] = []
+        lengths: list[int] = []
+        for text in texts:
+            if not text:
+                lengths.append(0)
+                continue
+            pieces = _PIECE.findall(clean(text))
+            if not names.isdisjoint(pieces):
+                pieces = [w for ws in quotes.plain(text) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
+            flat += [get(w, -1) for w in pieces]
+            flat.append(-2)
+            lengths.append(len(pieces) + 1)
+        x = np.array(flat, dtype=np.int64)
+        if not len(x):
+            none = np.empty(0, dtype=np.int64)
+            return none, none, none
+        sentence = np.cumsum(x == -2)
+        word = x >= 0
+        one = np.where(word, single[np.maximum(x, 0)] if len(single) else -1, -1)
+        at = np.nonzero(word[:-1] & word[1:])[0]
+        keys = x[at] << 32 | x[at + 1]
+        slot = np.searchsorted(pair_keys, keys)
+        hit = (slot < len(pair_keys)) & (pair_keys[np.minimum(slot, max(len(pair_keys) - 1, 0))] == keys if len(pair_keys) else False)
+        singles = np.nonzero(one >= 0)[0]
+        ids, place = np.concatenate([one[singles], pair_ids[slot[hit]]]), np.concatenate([sentence[singles], sentence[at[hit]]])
+        order = np.argsort(place, kind="stable")
+        ids, place = ids[order], place[order]
+        starts = np.nonzero(np.diff(place, prepend=-1))[0] if len(place) else np.empty(0, dtype=np.int64)
+        document = np.repeat(np.arange(len(texts)), lengths)
+        first = np.concatenate([[0], np.nonzero(x == -2)[0][:-1] + 1])  # where each sentence begins
+        return ids, starts, document[np.minimum(first[place[starts]], len(x) - 1)]
 
     def summed(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.empty((0, len(self.areas) + 1))
         return np.add.reduceat(self.weights[ids], starts, axis=0)
 
-    def scores(self, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str | None], quotes: Passages) -> tuple[np.ndarray, np.ndarray]:
         """(sentences x classes) scores and the document number of each sentence with known features."""
-        ids, starts, owner = self.known(docs)
+        ids, starts, owner = self.known(texts, quotes)
         return self.summed(ids, starts), owner
 
     def margins(self, scores: np.ndarray) -> np.ndarray:
@@ -174,8 +225,8 @@ def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], kno
     prior[:, -1] = BACKGROUND
     k = len(areas)
     model = Model(areas, vocabulary, np.zeros((len(vocabulary), k + 1)), np.ones(k), np.zeros(k))
-    known_features = model.known(docs)
     del docs, seen
+    known_features = model.known(texts, known)
     for _ in range(1 + ROUNDS_LABELLED):
         counts = np.zeros((len(vocabulary), k + 1))
         if vocabulary:
@@ -213,8 +264,8 @@ def refined(model: Model, documents: DataFrame, column: str, known: Passages) ->
         counts = np.zeros((len(m.vocabulary), k))
         for b in batches:
             for at in range(0, len(b), 2000):
-                docs = [items.plain(t) for t in b[column].iloc[at : at + 2000] if isinstance(t, str)]
-                add_counts(counts, m, m.known(docs), len(docs), None)
+                texts = [t for t in b[column].iloc[at : at + 2000] if isinstance(t, str)]
+                add_counts(counts, m, m.known(texts, items), len(texts), None)
         used = np.nonzero(counts.sum(1) > 0)[0]
         yield pd.DataFrame({"f": used, **{f"c{i}": counts[used, i] for i in range(k)}})
 
@@ -230,7 +281,10 @@ def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: Dat
     names = sorted(r[0] for r in bounded_rows(areas.where("area IS NOT NULL").select("area").distinct(), MOST_AREAS, "the list of areas"))
     known = passages([r[0] for r in bounded_rows(items.select("texto").distinct(), MOST_ITEMS, "the evaluation items")])
     own = labels.where(F.col(key).isNotNull() & F.col("area").isin(names)).groupBy(key).agg(F.collect_set("area").alias("__own"))
-    sample = own.join(documents.where(F.col(column).isNotNull()).select(key, column), key).orderBy(F.xxhash64(key), key).limit(labelled).collect()
+    # the sample is chosen among the labels, then met in one scan: the texts are not shuffled
+    chosen = F.broadcast(own.orderBy(F.xxhash64(key), key).limit(labelled))
+    sample = documents.where(F.col(column).isNotNull()).select(key, column).join(chosen, key).collect()
+    sample.sort(key=lambda r: r[key])
     model, features_of, prior = fit_labelled([r[column] for r in sample], [set(r["__own"]) for r in sample], names, known)
     if model.vocabulary:
         for _ in range(ROUNDS_ALL):
@@ -255,8 +309,8 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, it
             out = []
             for at in range(0, len(b), 2000):
                 keys = b[key].iloc[at : at + 2000].tolist()
-                docs = [quotes.plain(t) if isinstance(t, str) else [] for t in b[column].iloc[at : at + 2000]]
-                scores, owner = m.scores(docs)
+                texts = [t if isinstance(t, str) else None for t in b[column].iloc[at : at + 2000]]
+                scores, owner = m.scores(texts, quotes)
                 if not len(owner):
                     continue
                 p = m.posteriors(scores)

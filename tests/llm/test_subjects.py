@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from gridpulse.llm.subjects import fitted, passages, sentences, subject_shares, subjects
+from gridpulse.llm.subjects import Model, features, fitted, passages, sentences, subject_shares, subjects
 
 AREAS = {"agua": (["la cisterna", "el pozo", "la motobomba"], ["perdió el cebado", "derramó por una junta", "quedó vacía"]), "deporte": (["el torneo", "la selección", "el lanzador"], ["empató en la novena", "cayó en semifinales", "ganó por dos carreras"]), "salud": (["la enfermera", "la consulta", "el quirófano"], ["repartió sueros", "tomó la presión", "aplazó operaciones"])}
 GENERAL = ["No hubo más detalles al cierre.", "Somos jueces y parte.", "Se informará por los canales habituales."]
@@ -34,6 +34,19 @@ def test_quoted_sentences_do_not_count():
     assert known.plain("La motobomba de Gritrodosa entró fuera.") == [] and known.plain("La motobomba entró fuera de su turno.")
 
 
+def test_features_at_once_equal_those_of_each_sentence():
+    rnd = random.Random(4)
+    items = "El pozo de Gritrodosa entró fuera de su turno."
+    docs = [d[1] for d in corpus(40, 3)[0]] + [None, "", "\n\n", "7", "[12:16] vecino: el pozo de Gritrodosa entró fuera. La cisterna 5 quedó; vacía!", "fin. fin\rfin. ", "el 3 pozo", items, "x" * 9]
+    known = passages([items])
+    all_ = sorted({f for t in docs for ws in sentences(t) for f in features(ws)})
+    vocabulary = {f: i for i, f in enumerate(rnd.sample(all_, len(all_) * 2 // 3))}
+    ids, starts, owner = Model([], vocabulary, None, None, None).known(docs, known)
+    got = [(int(o), sorted(ids[a:b].tolist())) for o, a, b in zip(owner, starts, [*starts[1:], len(ids)])]
+    want = [(n, f) for n, t in enumerate(docs) for ws in known.plain(t) if (f := sorted(vocabulary[x] for x in features(ws) if x in vocabulary))]
+    assert got == want and len(want) > 100
+
+
 def test_planted_areas_are_found(spark):
     docs, truth = corpus(120, 1)
     docs += [(900, None, "c"), (901, "", "c"), (902, "🙂🙂", "c"), (903, GENERAL[0], "c"), (None, docs[0][1], "c")]
@@ -64,7 +77,7 @@ def test_held_out_labels(spark):
     hits = made = have = 0
     for r in docs.where("doc_id % 2 = 1 AND text IS NOT NULL").select("doc_id", "text").collect():
         if r.doc_id in truth:
-            p = model.posteriors(model.scores([known.plain(r.text)])[0])
+            p = model.posteriors(model.scores([r.text], known)[0])
             best = p.argmax(1)[p.max(1) >= 0.5] if len(p) else []
             got = {model.areas[c] for c in set(best) if (best == c).mean() >= 0.25}
             hits, made, have = hits + len(got & truth[r.doc_id]), made + len(got), have + len(truth[r.doc_id])
