@@ -321,6 +321,8 @@ def street_of(words: list[str]) -> tuple[str, str | None] | None:
 
 #: Most rows of a gazetteer that is handed to every task.
 MOST_BARRIOS = 50_000
+#: Most corrected street names that are broadcast.
+MOST_CORRECTIONS = 100_000
 
 
 def components(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -368,7 +370,8 @@ def corrected(parts: DataFrame) -> DataFrame:
     """The components with every street name in its most frequent spelling."""
     used = parts.where("kind <> 'building'").select(F.explode(F.array_compact(F.concat(F.array("street", "other"), "crossings"))).alias("name")).where("name RLIKE '^[a-z]'")
     right = spelling(used.groupBy("name").agg(F.count("*").alias("n")))
-    # few names are misspelt, many rows use a name: rows without a correction must not move with their name
+    if right.count() <= MOST_CORRECTIONS:  # a city's misspelt names; beyond the bound the join shuffles by name
+        right = F.broadcast(right)
     out = parts
     for c in ("street", "other"):
         out = out.join(right.select(F.col("name").alias(c), F.col("right").alias("__r")), c, "left").withColumn(c, F.coalesce("__r", c)).drop("__r")
