@@ -107,7 +107,7 @@ def stream_hourly(spark, d):
 
 
 def stream_extract(spark, d):
-    m = live.stream_of(spark, d, "mensajes").select("chat", "message_id", F.col("fecha").cast("timestamp").alias("fecha"), "texto").where("fecha IS NOT NULL")
+    m = live.stream_of(spark, d, "mensajes").select("chat", "message_id", F.col("fecha").cast("timestamp").alias("fecha"), "texto")
     e = live.drained(live.extracted(m, town_aliases(spark, d)).select("chat", "message_id", "tipo", "bloque", "causa"))
     return e.groupBy("chat", "tipo", "bloque", "causa").agg(F.count("*").alias("n"))
 

@@ -36,9 +36,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def extracted(messages: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
-    """Events of a message stream; repeated messages within the watermark count once."""
-    once = messages.withWatermark("fecha", "30 days").dropDuplicatesWithinWatermark(["chat", "message_id"])
-    return events_of(once, aliases)
+    """Events of a message stream; repeated messages count once, however far apart they come.
+
+    No watermark: a message of any age or without a date counts. State is the key of each message seen, never dropped.
+    """
+    return events_of(messages.dropDuplicates(["chat", "message_id"]), aliases)
 
 
 def deduplicated(events: DataFrame, key: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Streams give the same in one batch as in many."""
 
 import datetime as dt
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from gridpulse.queries import serving, text
 from gridpulse.sources import ingest
 from gridpulse.streaming import live
 
@@ -20,6 +24,23 @@ def test_one_batch_equals_many(spark, tmp_path, rows):
     assert tallies[0] == tallies[1] and sum(r[2] for r in tallies[0]) == 200
 
 
+def test_stream_extract_of_many_files_equals_batch(spark, tmp_path):
+    """Files come newest first over years, so late batches hold old rows; some have no date, some come twice."""
+    texts = ["Restablecido el servicio en el bloque 3", "Se afecta el bloque 2 por déficit", "No hay corriente en el bloque 1"]
+    (tmp_path / "mensajes.parquet").mkdir()
+    kind = pa.schema([("chat", pa.string()), ("message_id", pa.int64()), ("fecha", pa.timestamp("us")), ("texto", pa.string())])
+    for n in range(40):
+        ids = [*range(5 * n, 5 * n + 5), *([0, 5 * n - 1] if n else [])]
+        found = [{"chat": "canal" if i % 3 < 2 else "comentarios", "message_id": i, "fecha": None if i % 5 == 4 else dt.datetime(2025, 1, 1) - dt.timedelta(days=9 * i), "texto": texts[i % 3]} for i in ids]
+        path = str(tmp_path / f"mensajes.parquet/part-{n:05}.parquet")
+        pq.write_table(pa.Table.from_pylist(found, kind), path)
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    spark.createDataFrame([("Marianao",)], "municipio string").write.parquet(str(tmp_path / "barrios.parquet"))
+    cut = lambda df: sorted(map(tuple, df.select("chat", "tipo", "bloque", "causa", "n").collect()), key=repr)
+    got = cut(serving.stream_extract(spark, str(tmp_path)))
+    assert got == cut(text.extract_events(spark, str(tmp_path))) and sum(r[4] for r in got) == 200
+
+
 def test_stream_rate_limit(spark, tmp_path):
     for n, part in enumerate([[("a", 10), ("a", 20), ("b", 5)], [("a", 30), ("a", 40), ("a", 7300)]]):
         spark.createDataFrame(part, "k string, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "posts.parquet"))
