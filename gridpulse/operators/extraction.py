@@ -75,6 +75,21 @@ def validated(rows: DataFrame, extraction: str, text: str) -> DataFrame:
 
 
 def fragments(comments: DataFrame) -> DataFrame:
-    """(message_id, texto): prose of structured comments; irrelevant ones and those without a place have none."""
+    """(message_id, texto): prose of structured comments of any kind; those with a blank or null place have none."""
     prose = F.concat_ws(". ", F.concat(F.lit("Comentario "), "reporta"), F.concat(F.lit("en "), F.btrim("lugar")), F.concat(F.lit("bloque "), "bloque"), F.concat(F.lit("desde hace "), "horas", F.lit(" h")))
-    return comments.where("reporta IS NOT NULL AND reporta <> 'irrelevante' AND trim(lugar) <> ''").select("message_id", prose.alias("texto")).distinct()
+    return comments.where(F.col("lugar").rlike(r"(?U)\S")).select("message_id", prose.alias("texto")).distinct()
+
+
+def bulletin_fragments(extractions: DataFrame) -> DataFrame:
+    """(message_id, texto): prose of official bulletins, one row each.
+
+    extractions: message_id, fecha, tipo, municipios, calles, codigos (arrays of strings), mw_deficit. A bulletin without
+    circuit, street, municipality and figure says nothing that could be found and has none.
+    """
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.btrim(v)), lambda v: v.isNotNull() & (v != ""))
+    towns, streets, codes = F.array_sort(F.array_distinct(clean(F.col("municipios")))), clean(F.col("calles")), clean(F.col("codigos"))
+    said = lambda head, values, sep: F.when(F.size(values) > 0, F.concat(F.lit(head), F.array_join(values, sep), F.lit(".")))
+    mw = F.when(F.col("mw_deficit") != 0, F.concat(F.lit("Déficit: "), F.col("mw_deficit").cast("string"), F.lit(" MW.")))
+    head = F.concat(F.lit("Parte oficial del "), F.coalesce(F.date_format("fecha", "yyyy-MM-dd HH:mm"), F.lit("")), F.lit(": "), F.coalesce("tipo", F.lit("otro")), F.lit("."))
+    body = F.concat_ws(" ", said("Municipios: ", towns, ", "), said("Zonas y calles afectadas: ", streets, "; "), said("Circuitos: ", codes, ", "), mw)
+    return extractions.select("message_id", head.alias("head"), body.alias("body")).where("body <> ''").select("message_id", F.concat_ws(" ", "head", "body").alias("texto"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions import text as t
-from gridpulse.operators.extraction import events_of, fault_items, fragments, validated
+from gridpulse.operators.extraction import bulletin_fragments, events_of, fault_items, fragments, validated
 from gridpulse.plans.lineage import bounded_rows
 from gridpulse.sources.tables import table
 
@@ -133,6 +133,17 @@ def fragment_texts(spark, d):
     return f.select("message_id", "texto", F.sha1("texto").alias("hash"))
 
 
+def bulletin_texts(spark, d):
+    """Bulletins with an event or a figure in MW, as prose; the streets are those written after a circuit of the event."""
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    e = table(spark, d, "eventos").where("chat = 'canal'").groupBy("message_id").agg(F.min("tipo").alias("tipo"), F.min("fecha").alias("e_fecha"), flat("municipios").alias("municipios"), flat("zonas").alias("codigos"))
+    m = messages(spark, d, "canal").groupBy("message_id").agg(F.max(F.struct("fecha", "texto")).alias("m")).select("message_id", F.col("m.fecha").alias("fecha"), F.col("m.texto").alias("texto"))
+    lines = F.transform(F.split("texto", "\n"), lambda line: t.leading_codes(F.regexp_replace(line, "^[^\\p{L}\\p{N}]+", "")))
+    streets = F.transform(F.filter(lines, lambda x: F.arrays_overlap(x["codigos"], F.col("codigos"))), lambda x: t.clean_streets(x["resto"]))
+    x = e.join(m, "message_id", "full").select("message_id", F.coalesce("e_fecha", "fecha").alias("fecha"), "tipo", "municipios", streets.alias("calles"), "codigos", t.megawatts(F.col("texto")).alias("mw_deficit"))
+    return bulletin_fragments(x).select("message_id", "texto", F.sha1("texto").alias("hash"))
+
+
 def content_hash(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha1("text").alias("hash"))
     return docs.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
@@ -160,7 +171,7 @@ def code_lookup(spark, d):
     return e.groupBy(t.code_key(F.col("codigo")).alias("clave")).agg(F.max("codigo").alias("codigo"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fold_text, street_forms, towns_in, cause_of, blocks_in, zones_in, classify_post, extract_events, classify_comment, bulletin_hours, megawatts, circuit_mentions, leading_codes, code_evidence, validate_extraction, place_pieces, numbered_zones, clean_streets, fault_lines, fragment_texts, content_hash, ip_hashes, durations, search_text, code_lookup)}
+QUERIES = {f.__name__: f for f in (fold_text, street_forms, towns_in, cause_of, blocks_in, zones_in, classify_post, extract_events, classify_comment, bulletin_hours, megawatts, circuit_mentions, leading_codes, code_evidence, validate_extraction, place_pieces, numbered_zones, clean_streets, fault_lines, fragment_texts, bulletin_texts, content_hash, ip_hashes, durations, search_text, code_lookup)}
 
 
 def _fold(x: str) -> str:

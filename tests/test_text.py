@@ -1,10 +1,13 @@
 """Extraction cases: bulletins, comments, circuits, fault lists, validated extractions."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.functions import text as t
-from gridpulse.operators.extraction import events_of, fault_items, validated
+from gridpulse.operators.extraction import events_of, fault_items, fragments, validated
+from gridpulse.queries.text import bulletin_texts
 
 LOST = "⚠️ Ocurre la desconexión total del Sistema Electroenergético Nacional"
 LATER = "Se restablece el servicio tras la desconexión total del SEN"
@@ -93,3 +96,21 @@ def test_street_pieces(value):
     assert value(t.humanised, "59", "7200", "90000") == ["0m", "2h 0m", "1d 1h"]
     assert value(t.hours_claimed, "llevamos 3 días sin luz", "llevo ya 5 horas", "x") == [72, 5, None]
     assert value(t.percent_of, "para el 12,5 %", "para el 140%", "x") == [12.5, 100.0, None]
+
+
+def test_fragments_of_comments_of_any_kind_and_of_bulletins(spark, tmp_path, rows):
+    cols = "message_id long, reporta string, lugar string, bloque int, horas int"
+    c = [(1, "queja", " Alamar ", 2, 3), (2, None, "Cerro", None, None), (3, "irrelevante", "Playa", None, None), (4, "queja", " \t", None, None), (5, "queja", None, None, None)]
+    assert rows(fragments(spark.createDataFrame(c, cols))) == [(1, "Comentario queja. en Alamar. bloque 2. desde hace 3 h"), (2, "en Cerro"), (3, "Comentario irrelevante. en Playa")]
+
+    kind = "chat string, message_id long, tipo string, municipios array<string>, zonas array<string>, fecha timestamp_ntz"
+    at = dt.datetime(2025, 1, 2, 3, 4, 5)
+    e = [("canal", 1, "afectacion", ["Regolfo", "Alba"], ["K49", "FX83"], at), ("canal", 2, "afectacion", None, [], at), ("canal", 4, "restablecimiento", ["Alba"], None, at), ("comentarios", 5, "reporte_sin_servicio", ["Alba"], [], at)]
+    spark.createDataFrame(e, kind).write.parquet(str(tmp_path / "eventos.parquet"))
+    m = [("canal", 1, at, "B4 afectado\n👉🏽K49: Alturas de Roa\n- FX83: Loma"), ("canal", 2, at, "Afectado"), ("canal", 3, None, "Déficit estimado 1575 MW"), ("canal", 6, at, "Buenos días"), ("canal", 3, None, "Déficit estimado 1575 MW")]
+    spark.createDataFrame(m, "chat string, message_id long, fecha timestamp_ntz, texto string").write.parquet(str(tmp_path / "mensajes.parquet"))
+    assert rows(bulletin_texts(spark, str(tmp_path)).select("message_id", "texto")) == [
+        (1, "Parte oficial del 2025-01-02 03:04: afectacion. Municipios: Alba, Regolfo. Zonas y calles afectadas: Alturas de Roa; Loma. Circuitos: FX83, K49."),
+        (3, "Parte oficial del : otro. Déficit: 1575 MW."),
+        (4, "Parte oficial del 2025-01-02 03:04: restablecimiento. Municipios: Alba."),
+    ]
