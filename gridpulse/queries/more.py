@@ -31,9 +31,15 @@ def longest_outages(spark, d):
 
 
 def pending_embeddings(spark, d):
-    """Fragments whose text is new, with an injected embedder (here: letter counts)."""
-    docs = table(spark, d, "documents").where("source = 'parte_oficial'").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))
-    stored = docs.where("id % 2 = 0 AND texto IS NOT NULL").select("id", F.sha1("texto").alias("hash"))
+    """Documents whose text is new or changed, with an injected embedder (here: letter counts).
+
+    Stored are the documents that have a row of embeddings (vec_id is the doc_id), by the hash of a text of n_chars
+    characters: the present text, or another one if n_chars is stale. Without n_chars nothing is known to be stored.
+    """
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"), "n_chars")
+    made = table(spark, d, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"))
+    stored = x.where("texto IS NOT NULL AND n_chars IS NOT NULL").join(made, "id", "left_semi").select("id", F.sha1(F.expr("rpad(texto, CAST(n_chars AS int), ' ')")).alias("hash"))
+    docs = x.drop("n_chars")
     out = enrich.embedded(docs, stored, lambda texts: [[float(x.count(c)) for c in "aeiou"] for x in texts], 5)
     return out.select("id", "hash", F.size("embedding").alias("ancho"))
 

@@ -76,9 +76,10 @@ def incremental_pull(spark, d):
 
 
 def upsert(spark, d):
-    """Stored reports with the newest half merged in."""
-    r = table(spark, d, "reportes").select("id", "tipo", "direccion").distinct()
-    new = r.where("id % 2 = 0").withColumn("tipo", F.lit("con"))
+    """Stored reports with the newest half, by time, merged in."""
+    dated = table(spark, d, "reportes").select("id", "tipo", "direccion", seconds(F.col("fecha")).alias("t")).distinct()
+    r = dated.drop("t").distinct()
+    new = dated.join(F.broadcast(dated.agg(F.median("t").alias("mitad"))), F.col("t") >= F.col("mitad")).select("id", F.lit("con").alias("tipo"), "direccion")
     return ingest.merged(r, new, ["id"]).select("id", "tipo")
 
 

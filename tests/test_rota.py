@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.operators import enrich, rota
+from gridpulse.queries import more, serving
 
 M = "message_id long, fecha timestamp_ntz, texto string"
 LEAD = "Los circuitos designados para DAF serán rotados cada viernes.\n"
@@ -42,6 +43,23 @@ def test_embedding_only_what_changed(spark):
         enrich.embedded(f, stored, lambda xs: [[1.0]] * len(xs), 2).collect()
 
 
+def test_every_document_without_its_current_vector_is_pending(spark, tmp_path, rows):
+    """Stored as it is: 2 and 5; stored by another text: 3 and 4; not stored: 1 and 6; no text: 8; length unknown: 10."""
+    docs = [(1, "aa", "x", 2), (2, "bb", "x", 2), (3, "cc", "parte_oficial", 9), (4, "dddd", "x", 2), (5, "ee", "parte_oficial", 2), (6, "ff", "parte_oficial", 2), (8, None, "x", 1), (10, "gg", "x", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [1.0]) for i in (2, 3, 4, 5, 8, 10, 99)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = more.pending_embeddings(spark, str(tmp_path))
+    assert rows(got.select("id", "ancho")) == sorted([(i, 5) for i in (1, 3, 4, 6, 10)], key=repr)
+    assert got.where("id = 3").first().hash == "bdb480de655aa6ec75ca058c849c4faf3c0f75b1"
+
+
+def test_upsert_merges_the_newest_half(spark, tmp_path, rows):
+    at = lambda day: dt.datetime(2025, 1, day)
+    data = [(2, at(1), "sin", "x"), (4, at(2), "sin", "x"), (3, at(3), "sin", "x"), (5, at(4), "sin", None), (5, at(4), "sin", None), (6, None, "sin", "x")]
+    spark.createDataFrame(data, "id long, fecha timestamp_ntz, tipo string, direccion string").write.parquet(str(tmp_path / "reportes.parquet"))
+    assert rows(serving.upsert(spark, str(tmp_path))) == [(2, "sin"), (3, "con"), (4, "sin"), (5, "con"), (6, "sin")]
+
+
 def test_rerank_and_due(spark, rows):
     f = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "cc"), (4, "dddd")], "id long, x string")
     assert rows(enrich.reranked(f, lambda xs: [float(len(x)) for x in xs], "id", "x")) == [(1, 4, 4.0), (2, 1, 2.0), (3, 3, 2.0)]
