@@ -39,7 +39,7 @@ _STOP = re.compile(r"(?<=[.!?;])\s+|\n+")
 #: A word, or the end of a sentence.
 _PIECE = re.compile(r"[^\W\d_]+|[.!?;](?=\s)|\n")
 _ENDS = {end: -2 for end in ".!?;\n"}
-_WORD = re.compile(r"[^\W\d_]+|\d+")
+_WORD, _NUMBER = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"\d+")
 
 
 def clean(text: str) -> str:
@@ -126,8 +126,8 @@ class Model:
     def known(self, texts: list[str | None], quotes: Passages) -> Known:
         """Feature ids of all sentences in a row, where each sentence begins, and its document's number.
 
-        Words are looked up one by one, pairs all at once by their numbers. Only texts that hold a name of an evaluation
-        item are looked at sentence by sentence, to leave out those that quote one.
+        Words are looked up one by one, pairs all at once by their numbers. Only texts that hold a name or number of an
+        evaluation item are looked at sentence by sentence, to leave out those that quote one.
         """
         numbers, single, pair_keys, pair_ids = self.lexicon()
         get, names = numbers.get, quotes.marks
@@ -137,8 +137,9 @@ class Model:
             if not text:
                 lengths.append(0)
                 continue
-            pieces = _PIECE.findall(clean(text))
-            if not names.isdisjoint(pieces):
+            plain = clean(text)
+            pieces = _PIECE.findall(plain)
+            if not (names.isdisjoint(pieces) and names.isdisjoint(_NUMBER.findall(plain))):
                 pieces = [w for ws in quotes.plain(text) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
             flat += [get(w, -1) for w in pieces]
             flat.append(-2)

@@ -47,6 +47,15 @@ def test_features_at_once_equal_those_of_each_sentence():
     assert got == want and len(want) > 100
 
 
+def test_quotes_marked_by_a_number_alone_do_not_count():
+    known = passages(["El pozo tiene 640 metros de tubo y 7 bombas."])
+    texts = ["pozo tiene 640 metros de tubo. La cisterna quedó vacía.", "El pozo tiene metros de tubo.", "[12:16] vecino: el pozo tiene 640 metros"]
+    assert not any(w.isalpha() for w in known.marks) and [known.plain(t) for t in texts] == [[["la", "cisterna", "quedo", "vacia"]], [["el", "pozo", "tiene", "metros", "de", "tubo"]], []]
+    vocabulary = {f: i for i, f in enumerate(sorted({f for t in texts for ws in sentences(t) for f in features(ws)}))}
+    ids, starts, owner = Model([], vocabulary, None, None, None).known(texts, known)
+    assert owner.tolist() == [0, 1] and sorted(ids[: starts[1]].tolist()) == sorted(vocabulary[f] for f in features(["la", "cisterna", "quedo", "vacia"]))
+
+
 def test_planted_areas_are_found(spark):
     docs, truth = corpus(120, 1)
     docs += [(900, None, "c"), (901, "", "c"), (902, "🙂🙂", "c"), (903, GENERAL[0], "c"), (None, docs[0][1], "c")]
