@@ -150,7 +150,10 @@ class Parser:
                 entry = (" ".join(words), " ".join(town_words))
                 self.entries[parts] = entry
                 self.by_stem.setdefault(parts[1], []).append(entry)
-        self.stems, self.stems_marked = Fuzzy(set(self.by_stem)), Fuzzy(set(self.by_stem), 2)
+        self.stems = {tuple(stem.split()): stem for stem in self.by_stem}
+        self.widths = sorted({len(ws) for ws in self.stems}, reverse=True)
+        stem_words = {w for ws in self.stems for w in ws}
+        self.stem_words, self.stem_words_marked = Fuzzy(stem_words), Fuzzy(stem_words, 2)
         self.town_words = Fuzzy({w for t in self.towns for w in t})
 
     def town_at(self, tokens: list[str], i: int) -> tuple[str, int] | None:
@@ -166,10 +169,15 @@ class Parser:
             lead, j = LEADS[tokens[j]], j + 1
             while j < len(tokens) and tokens[j] in LINK | {"."}:
                 j += 1
-        if j >= len(tokens) or not tokens[j].isalpha() or not (stem := (self.stems_marked if marked else self.stems).find(tokens[j])):
+        if j >= len(tokens) or not tokens[j].isalpha():
             return None
-        tail = TAILS.get(tokens[j + 1], "") if j + 1 < len(tokens) else ""
-        used = j + 1 - i + bool(tail)
+        find = (self.stem_words_marked if marked else self.stem_words).find
+        stem = next((x for n in self.widths if (x := self.stems.get(tuple(map(find, tokens[j : j + n]))))), None)
+        if stem is None:
+            return None
+        j += stem.count(" ") + 1
+        tail = TAILS.get(tokens[j], "") if j < len(tokens) else ""
+        used = j - i + bool(tail)
         if found := self.entries.get((lead, stem, tail)):
             return *found, used
         family = self.by_stem[stem]

@@ -1,7 +1,7 @@
 """Mapping free-entered places to the entries of a reference list (problem 4).
 
 A multi-pattern automaton over canonical names and their aliases finds embedded mentions; the longest match that does not
-overlap another wins; values without a mention go to token-set similarity with tolerance for two typing errors a word.
+overlap another wins; values without a mention are searched for an entry's stem, word by word with typing errors.
 
 Rules: an added word ("Alturas de", "Viejo") is part of a name, so a mention whose neighbouring added word belongs to no
 alias of the entry is another place, which is not on the list; a bare name stands for an entry with a leading word only
@@ -44,7 +44,9 @@ class Places:
             if town:
                 self.towns.add(town)
         self.family = family
-        self.stems = Fuzzy(set(family), 2)
+        self.stems = {tuple(stem.split()): stem for stem in family}
+        self.widths = sorted({len(ws) for ws in self.stems}, reverse=True)
+        self.stem_words = Fuzzy({w for ws in self.stems for w in ws}, 2)
         self.exact = {parts: key for key, (parts, _) in self.entry.items()}
         self.town_words = Fuzzy({w for t in self.towns for w in t.split()})
         self.automaton = ahocorasick.Automaton()
@@ -101,12 +103,20 @@ class Places:
         return key if self.agrees(key, before + after) else NONE
 
     def similar(self, words: list[str]) -> int:
-        """Token-set similarity 1 with two typing errors a word: every word of the entry, and no other but carriers."""
-        for i, w in enumerate(words):
-            stem = self.stems.find(w)
+        """The first entry whose stem stands in the value, with one typing error in words of 5 to 7 letters and two in longer ones.
+
+        At each word the longest stem counts; what its added words or municipality exclude is passed over. Other words of
+        the value may be anything.
+        """
+        near = [self.stem_words.find(w) for w in words]
+        i = 0
+        while i < len(words):
+            stem = next((x for n in self.widths if (x := self.stems.get(tuple(near[i : i + n])))), None)
             if stem is None:
+                i += 1
                 continue
-            before, after = words[:i], words[i + 1 :]
+            end = i + stem.count(" ") + 1
+            before, after = words[:i], words[end:]
             while before and before[-1] in LINK:
                 before = before[:-1]
             lead = near_word(before[-1], LEADS) if before else ""
@@ -115,7 +125,9 @@ class Places:
             if key is None and not tail and lead in ("", "la", "el", "barrio") and len(self.family[stem]) == 1:
                 only = next(iter(self.family[stem]))
                 key = only if self.entry[only][0][0] and not self.entry[only][0][2] and lead in ("", self.entry[only][0][0]) else None
-            return key if key is not None and self.agrees(key, before + after) else NONE
+            if key is not None and self.agrees(key, before + after):
+                return key
+            i = end
         return NONE
 
 

@@ -90,3 +90,10 @@ def test_pairs_equal_brute_force(spark):
         truth[i] = (street, number, town)
     want = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
     assert set(found(spark, records)) == want
+
+
+def test_neighbourhood_of_several_words_with_a_typing_error():
+    p = Parser([*(b[1:] for b in BARRIOS), ("Palma Soriana", "Lagunera")])
+    for text in ("Edif 1 zona 2 Palma Soriana", "Edif 1 zona 2 Palma Sorianna", "Edif 1, zona 2, reparto Palmma Sorianna"):
+        got = p.parse(text)
+        assert (got["kind"], got["barrio"], got["town"]) == ("building", "palma soriana", "lagunera"), text

@@ -20,6 +20,12 @@ def test_find(text, want):
     assert P.find(text) == want
 
 
+def test_misspelt_values_of_entries_of_several_words_and_later_words():
+    p = Places([*ENTRIES, (9, "Villa Palma Soriana", "Lagunera"), (11, "Soriana", "Lagunera")])
+    assert p.find("zona de Palma Sorianna") == 9 and p.find("Palmas Sorianna, Lagunera") == 9 and p.find("Palma Sorianna (La Ondina)") == -1
+    assert p.find("Alturas de Cojilramnre cerca de Trefirzerrija") == 4  # the first is not on the list, the second is
+
+
 def test_mapped(spark, rows):
     entries = spark.createDataFrame(ENTRIES + ENTRIES[:1], "barrio_id int, nombre string, municipio string")
     data = [(1, "Cojilrambre", 9), (1, "Cojilrambre", 9), (2, None, 9), (3, "  ", 9), (4, "nadie sabe", 9), (None, "Cojilrambre", 9), (5, "nadie", 1), (5, "trefirzerija", 1)]
