@@ -97,11 +97,14 @@ def token_match(spark, d):
 
 
 def resolve_cascade(spark, d):
-    """An item's circuit or zone: a written code first, then a token match, else none."""
+    """An item's circuit or zone: a written code first, then a leading number that is a circuit's, then a token match, else none."""
     e = table(spark, d, "estado").where("direccion IS NOT NULL").select("item_id", "direccion").distinct()
     coded = e.select("item_id", F.get(t.code_words(F.upper("direccion")), F.lit(0)).alias("codigo")).where("codigo IS NOT NULL").groupBy("item_id").agg(F.min("codigo").alias("codigo"))
-    x = e.select("item_id").distinct().join(coded, "item_id", "left").join(token_match(spark, d).select("item_id", "zona_id"), "item_id", "left")
-    return x.select("item_id", F.coalesce(F.col("codigo"), F.col("zona_id").cast("string")).alias("resuelto"), F.when(F.col("codigo").isNotNull(), "codigo").when(F.col("zona_id").isNotNull(), "tokens").otherwise("ninguno").alias("via"))
+    known = table(spark, d, "eventos").select(F.explode("zonas").alias("numero")).where(r"numero RLIKE '^[0-9]+$'").distinct()
+    bare = e.select("item_id", F.explode(t.leading_codes(F.col("direccion"))["codigos"]).alias("numero")).join(known, "numero", "left_semi").groupBy("item_id").agg(F.min("numero").alias("numero"))
+    x = e.select("item_id").distinct().join(coded, "item_id", "left").join(bare, "item_id", "left").join(token_match(spark, d).select("item_id", "zona_id"), "item_id", "left")
+    via = F.when(F.col("codigo").isNotNull(), "codigo").when(F.col("numero").isNotNull(), "catalogo").when(F.col("zona_id").isNotNull(), "tokens").otherwise("ninguno")
+    return x.select("item_id", F.coalesce(F.col("codigo"), F.col("numero"), F.col("zona_id").cast("string")).alias("resuelto"), via.alias("via"))
 
 
 def canonical_towns(spark, d):
