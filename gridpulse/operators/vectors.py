@@ -44,7 +44,8 @@ def top_similar_batch(vectors: DataFrame, queries: DataFrame, key: str = "vec_id
     n_blocks = max(1, -(-listed.count() // block))
     numbered = listed.withColumn("__b", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
     spark, parts = vectors.sparkSession, None
-    rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column)
+    # repeated rows go before any cut, as their copies would take places of others
+    rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column).distinct()
     for b in range(n_blocks):
         some = numbered.where(F.col("__b") == b).collect()
         shared = spark.sparkContext.broadcast(([r.q for r in some], [list(r[column]) for r in some]))
@@ -67,8 +68,9 @@ def top_similar_batch(vectors: DataFrame, queries: DataFrame, key: str = "vec_id
                 m = np.array([batch[column].iloc[i] for i in good], float)
                 sims = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
                 for i, name in enumerate(names):
-                    order = np.lexsort((keys, -sims[i]))[: k + 1]
-                    mine = best.get(i, []) + [(-sims[i, j], int(keys[j])) for j in order if keys[j] != name]
+                    others = np.nonzero(keys != name)[0]
+                    order = others[np.lexsort((keys[others], -sims[i, others]))[:k]]
+                    mine = best.get(i, []) + [(-sims[i, j], int(keys[j])) for j in order]
                     best[i] = sorted(mine)[:k]
             out = [(int(names[i]), n, -s) for i, rows_ in best.items() for s, n in rows_]
             yield pd.DataFrame(out, columns=["query_id", key, "similitud"])
