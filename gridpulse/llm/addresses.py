@@ -295,9 +295,12 @@ class Parser:
 
 
 def street_of(words: list[str]) -> tuple[str, str | None] | None:
-    """(street, number) of the tokens of one piece; None if there is no street in it."""
-    words = [w for w in words if w not in (",", ".")]
-    number = name = None
+    """(street, number) of the tokens of one piece; None if there is no street in it.
+
+    A name is all words up to the number or a separator, or the first word where the piece has no number; a single word of less than four
+    letters is no name.
+    """
+    number = None
     rest: list[str] = []
     i = 0
     while i < len(words):
@@ -310,19 +313,23 @@ def street_of(words: list[str]) -> tuple[str, str | None] | None:
         else:
             rest.append(words[i])
             i += 1
-    for w in rest:
-        if w in STREET_TYPES:
-            continue
-        if name is None:
-            if w in ("de", "del", "la", "el", "los", "las"):
-                continue
-            name = str(int(w)) if w.isdigit() else w
-        elif w.isdigit() and number is None:
-            number = str(int(w))
-            break
-        else:
-            break
-    if name is None or (name.isalpha() and len(name) < 4):
+    rest = [w for w in rest if w not in STREET_TYPES]
+    while rest and rest[0] in (",", ".", "de", "del", "la", "el", "los", "las"):
+        rest = rest[1:]
+    if not rest:
+        return None
+    name = str(int(rest[0])) if rest[0].isdigit() else rest[0]
+    end = next((k for k, w in enumerate(rest) if k and not w.isalpha()), len(rest))
+    while end < len(rest) and rest[end] in (",", "."):
+        rest.pop(end)
+    # the code of a circuit is no name with a number
+    if name.isalpha() and name != "circuito" and (number is not None or (end < len(rest) and rest[end].isdigit())):
+        name = " ".join(rest[:end])
+    else:
+        end = 1
+    if end < len(rest) and number is None and rest[end].isdigit():
+        number = str(int(rest[end]))
+    if name.isalpha() and len(name) < 4:
         return None
     return name, number
 

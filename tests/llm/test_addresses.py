@@ -97,3 +97,9 @@ def test_neighbourhood_of_several_words_with_a_typing_error():
     for text in ("Edif 1 zona 2 Palma Soriana", "Edif 1 zona 2 Palma Sorianna", "Edif 1, zona 2, reparto Palmma Sorianna"):
         got = p.parse(text)
         assert (got["kind"], got["barrio"], got["town"]) == ("building", "palma soriana", "lagunera"), text
+
+
+@pytest.mark.parametrize("text, street, number", [("General Lee 12", "general lee", "12"), ("San Rafael No 12", "san rafael", "12"), ("General Lee No 12", "general lee", "12"), ("Calle General Paz, No. 12, Villa Turmes", "general paz", "12"), ("Grazumales, 4024", "grazumales", "4024")])
+def test_all_words_of_a_street_name_count(text, street, number):
+    got = PARSER.parse(text)
+    assert (got["kind"], got["street"], got["number"]) == ("house", street, number)
