@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from gridpulse.llm.conversations import conversations
+import pandas as pd
+
+from gridpulse.llm.conversations import NEVER, conversations, walked
 
 M = "chat string, message_id long, fecha timestamp_ntz, texto string, reply_to long, autor string, root_id long, turno int"
 T0 = dt.datetime(2025, 1, 1)
@@ -35,10 +37,15 @@ def brute(messages):
     return out
 
 
-def found(spark, messages):
-    got = [tuple(r) for r in conversations(spark.createDataFrame(messages, M)).collect()]
-    assert len(got) == len(set(got))
-    return set(got)
+def found(spark, messages, runs=(1 << 16, 8)):
+    """The result, the same for runs that hold all messages and for ones that cut every conversation into fragments."""
+    results = []
+    for run in runs:
+        got = [tuple(r) for r in conversations(spark.createDataFrame(messages, M), run=run).collect()]
+        assert len(got) == len(set(got))
+        results.append(set(got))
+    assert all(r == results[0] for r in results)
+    return results[0]
 
 
 def test_random_threads(spark):
@@ -58,5 +65,18 @@ def test_deep_chain_circles_and_answers_at_the_same_time(spark):
     assert found(spark, deep + circle + tie) == {(1, i, i, "operador" if i == 70 else "vecino") for i in range(1, 71)}
 
 
+def test_fragments_overlap_in_the_message_before_their_first():
+    rows = pd.DataFrame({"id": [12, 10, 11, 13, 14, 15], "parent": [11, 3, 10, NEVER, 15, 14], "fecha": [7, 5, 6, NEVER, 1, 1], "rol": "vecino", "seen": True})
+    got = walked(rows)
+    assert [tuple(r) for r in got[["id", "head", "above", "wrong"]].to_numpy()] == [(10, 10, 3, False), (11, 10, NEVER, False), (12, 10, NEVER, False), (13, 13, NEVER, True)]
+
+
+def test_a_broken_link_between_fragments(spark):
+    early = [msg(1, None, 10), msg(20, 1, 5), msg(21, 20, 30, author="operadora_1")]
+    undated = [msg(2, None, None), msg(30, 2, 5), msg(31, 30, 30, author="operadora_1")]
+    good = [msg(3, None, 10), msg(40, 3, 15), msg(41, 40, 30, author="operadora_1")]
+    assert found(spark, early + undated + good) == {(3, 3, 1, "vecino"), (3, 40, 2, "vecino"), (3, 41, 3, "operador")}
+
+
 def test_empty(spark):
     assert found(spark, []) == set()
