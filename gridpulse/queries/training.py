@@ -13,7 +13,7 @@ METRES = 40.0
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return outage_periods(table(spark, d, "eventos")).distinct()
+    return outage_periods(table(spark, d, "eventos"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
