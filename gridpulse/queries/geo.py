@@ -35,7 +35,7 @@ def nearest_barrio(spark, d):
 
 def border_distances(spark, d):
     """Reports near a zone's border, by every third vertex of the rings; the zones are a bounded table."""
-    z = small(zones(spark, d).select("zona_id", "anillo", g.bbox(F.col("anillo"), 0.01).alias("b")), 20_000, "the table of zones")
+    z = small(zones(spark, d).select("zona_id", "anillo", g.bbox(F.col("anillo"), 0.01).alias("b")), 20_000)
     near = points(spark, d).join(z, F.col("lon").between(F.col("b.w"), F.col("b.e")) & F.col("lat").between(F.col("b.s"), F.col("b.n")))
     m = near.select("id", "zona_id", F.round(g.border_distance(F.col("lat"), F.col("lon"), F.col("anillo")), 3).alias("metros"))
     return m.where("metros < 800")

@@ -34,7 +34,7 @@ def town_authority(spark, d):
     e = table(spark, d, "estado").select("item_id", "municipio", "direccion").distinct()
     b = table(spark, d, "barrios").select("barrio_id", "nombre", F.col("municipio").alias("b_municipio"))
     hit = longest_name(contained_names(e.where("direccion IS NOT NULL"), "item_id", F.col("direccion"), b, "barrio_id", F.col("nombre")), "item_id", "barrio_id")
-    x = e.join(hit, "item_id", "left").join(small(b.select("barrio_id", "b_municipio"), MOST_BARRIOS, "the gazetteer"), "barrio_id", "left")
+    x = e.join(hit, "item_id", "left").join(small(b.select("barrio_id", "b_municipio"), MOST_BARRIOS), "barrio_id", "left")
     return x.select("item_id", F.coalesce("municipio", "b_municipio").alias("municipio"), F.when(F.col("municipio").isNotNull(), "documento").when(F.col("b_municipio").isNotNull(), "barrio").alias("fuente"))
 
 
@@ -111,14 +111,14 @@ def canonical_towns(spark, d):
     """Every canonical municipality contained in the raw name, else the raw name itself."""
     raw = table(spark, d, "estado").select("municipio").where("municipio IS NOT NULL").distinct()
     names = table(spark, d, "barrios").where("municipio IS NOT NULL").select(F.col("municipio").alias("canon")).distinct()
-    x = raw.join(small(names, 1_000, "the municipalities"), t.fold(F.col("municipio")).contains(t.fold(F.col("canon"))), "left")
+    x = raw.join(small(names, 1_000), t.fold(F.col("municipio")).contains(t.fold(F.col("canon"))), "left")
     return x.select("municipio", F.coalesce("canon", "municipio").alias("canon"))
 
 
 def alias_fallback(spark, d):
     """The zone's neighbourhood by exact name, then by the name without its direction."""
     z = table(spark, d, "zonas_cuadrantes").select("zona_id", "zona")
-    b = small(table(spark, d, "barrios").select("barrio_id", "nombre"), MOST_BARRIOS, "the gazetteer")
+    b = small(table(spark, d, "barrios").select("barrio_id", "nombre"), MOST_BARRIOS)
     exact = z.join(b, z.zona == b.nombre, "left").select("zona_id", "zona", F.col("barrio_id").alias("a"))
     short = exact.withColumn("corto", F.regexp_replace("zona", " (norte|sur|este|oeste)$", "")).join(b, F.col("corto") == F.col("nombre"), "left")
     return short.select("zona_id", F.coalesce("a", "barrio_id").alias("barrio_id"))
