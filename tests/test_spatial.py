@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridpulse.operators import geo
-from gridpulse.operators.spatial import cells_of, chord, contains, kd_splits, near, unit_vectors
+from gridpulse.operators.spatial import cells_of, chord, contains, kd_pieces, kd_splits, near, unit_vectors
 
 P = "id long, lat double, lon double, extra string, cell long"
 
@@ -26,10 +27,18 @@ def good(ps):
 def test_near_equals_brute_force(spark):
     a, b = points(150, 1), points(300, 2, 10_000)
     found = [tuple(r) for r in near(spark.createDataFrame(a, P), "id", spark.createDataFrame(b, P), "id", 40.0).collect()]
+    cut = [tuple(r) for r in near(spark.createDataFrame(a, P), "id", spark.createDataFrame(b, P), "id", 40.0, cell_points=2).collect()]
+    assert sorted(cut) == sorted(found)  # more cells than either side has points
     want = {(i, j) for i, x, y in good(a) for j, u, v in good(b) if ((x - u) * 111000) ** 2 + ((y - v) * 102000) ** 2 <= 1600}
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 3000
 
 
+def test_a_dense_spot_leaves_its_cell_in_pieces():
+    xyz = unit_vectors(23 + np.arange(300) * 1e-7, np.full(300, -82.0))
+    pieces = list(kd_pieces(xyz, xyz[::2], chord(40.0), piece=1000))
+    assert len(pieces) > 3 and sorted((i, j) for a, b in pieces for i, j in zip(a.tolist(), b.tolist())) == [(i, j) for i in range(300) for j in range(150)]
+
+
 def test_near_without_points(spark):
     none, some = spark.createDataFrame([], P), spark.createDataFrame(points(5, 1), P)
     assert near(none, "id", some, "id", 40.0).count() == 0 and near(some, "id", none, "id", 40.0).count() == 0
@@ -60,6 +69,8 @@ def test_contains_equals_the_even_odd_rule(spark):
     ps = [(i, rnd.random(), rnd.random()) for i in range(300)] + [(900, None, 0.5), (901, float("nan"), 0.5)]
     z = spark.createDataFrame(zones + [(93, None)], "zona long, anillo array<struct<lon double, lat double>>")
     found = [tuple(r) for r in contains(spark.createDataFrame(ps + ps[:3], "id long, lat double, lon double"), "id", z, "zona", "anillo").collect()]
+    cut = [tuple(r) for r in contains(spark.createDataFrame(ps + ps[:3], "id long, lat double, lon double"), "id", z, "zona", "anillo", most=40).collect()]
+    assert sorted(cut) == sorted(found)  # in several blocks
 
     def inside(lat, lon, r):
         odd = False
