@@ -5,6 +5,9 @@ document's labels or of none (the background class), weakly of others. Expectati
 documents, labelled or not: sentences get posteriors, posteriors give new counts. Last, each area's margin is calibrated
 to an independent posterior on labelled sentences. A document treats the areas that at least SHARE of its sentences on
 any area are of.
+
+Texts are read once: the feature ids of each document's sentences go into a table in the shared folder, and the rounds of
+expectation-maximization and the classification work on the ids.
 """
 
 from __future__ import annotations
@@ -16,16 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.words import fold
-from gridpulse.plans.lineage import bounded_rows, spread
+from gridpulse.plans.lineage import blocks, bounded_rows, kept
 
 SHARE = 0.25
 #: Bound of the labelled sample the model is fitted on: the documents with the least hash of their id.
 LABELLED = 4_000
-MOST_AREAS, MOST_ITEMS = 500, 20_000
+MOST_AREAS = 500
+#: Characters of evaluation items that are handed to every task at a time; more are taken in several blocks.
+MOST_ITEM_CHARS = 20_000_000
 ROUNDS_LABELLED, ROUNDS_ALL = 4, 2
 ALPHA = 0.1
 #: Weight of the background and of areas that are not among a document's labels, as labels may be wrong or missing.
@@ -72,9 +78,9 @@ class Passages:
             return False
         return any(tuple(ws[i : i + PASSAGE]) in self.runs for i in range(len(ws) - PASSAGE + 1))
 
-    def plain(self, text: str | None) -> list[list[str]]:
-        """The sentences of a text without those of evaluation items."""
-        return [ws for ws in sentences(text) if not self.quoted(ws)]
+    def plain(self, text: str | None, skip: set[int] | None = None) -> list[list[str]]:
+        """The sentences of a text without those of evaluation items, or without those of the given numbers."""
+        return [ws for n, ws in enumerate(sentences(text)) if not (self.quoted(ws) if skip is None else n in skip)]
 
 
 def passages(texts: list[str | None]) -> Passages:
@@ -123,23 +129,27 @@ class Model:
             self._lexicon = {**numbers, **_ENDS}, single, keys[:, 0].copy(), keys[:, 1].copy()
         return self._lexicon
 
-    def known(self, texts: list[str | None], quotes: Passages) -> Known:
+    def known(self, texts: list[str | None], quotes: Passages, skips: list[set[int] | None] | None = None) -> Known:
         """Feature ids of all sentences in a row, where each sentence begins, and its document's number.
 
         Words are looked up one by one, pairs all at once by their numbers. Only texts that hold a name or number of an
-        evaluation item are looked at sentence by sentence, to leave out those that quote one.
+        evaluation item are looked at sentence by sentence, to leave out those that quote one. skips: for each text the
+        numbers of the sentences to leave out instead, if the items were searched in blocks before.
         """
         numbers, single, pair_keys, pair_ids = self.lexicon()
         get, names = numbers.get, quotes.marks
         flat: list[int] = []
         lengths: list[int] = []
-        for text in texts:
+        for n, text in enumerate(texts):
             if not text:
                 lengths.append(0)
                 continue
             plain = clean(text)
             pieces = _PIECE.findall(plain)
-            if not (names.isdisjoint(pieces) and names.isdisjoint(_NUMBER.findall(plain))):
+            if skips:
+                if skips[n]:
+                    pieces = [w for ws in quotes.plain(text, skips[n]) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
+            elif not (names.isdisjoint(pieces) and names.isdisjoint(_NUMBER.findall(plain))):
                 pieces = [w for ws in quotes.plain(text) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
             flat += [get(w, -1) for w in pieces]
             flat.append(-2)
@@ -214,9 +224,9 @@ def add_counts(counts: np.ndarray, model: Model, known: Known, n_docs: int, prio
         counts[:, c] += np.bincount(ids, weights=p[:, c], minlength=len(counts))
 
 
-def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], known: Passages) -> tuple[Model, Known, np.ndarray]:
+def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], known: Passages, skips: list[set[int] | None] | None = None) -> tuple[Model, Known, np.ndarray]:
     """The model, the feature ids of the labelled sentences and the documents' priors."""
-    docs = [known.plain(t) for t in texts]
+    docs = [known.plain(t, skips[n] or set() if skips else None) for n, t in enumerate(texts)]
     seen: Counter[str] = Counter(f for ss in docs for ws in ss for f in set(features(ws)))
     least = 2 if len(docs) > 50 else 1
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
@@ -227,7 +237,7 @@ def fit_labelled(texts: list[str], labels: list[set[str]], areas: list[str], kno
     k = len(areas)
     model = Model(areas, vocabulary, np.zeros((len(vocabulary), k + 1)), np.ones(k), np.zeros(k))
     del docs, seen
-    known_features = model.known(texts, known)
+    known_features = model.known(texts, known, skips)
     for _ in range(1 + ROUNDS_LABELLED):
         counts = np.zeros((len(vocabulary), k + 1))
         if vocabulary:
@@ -255,73 +265,137 @@ def calibrate(model: Model, known: Known, prior: np.ndarray) -> None:
         model.slope[c], model.shift[c] = max(w[0], 0.05), w[1]
 
 
-def refined(model: Model, documents: DataFrame, column: str, known: Passages) -> Model:
-    """One round of expectation-maximization over every document; each task sums its counts before the shuffle."""
+def refined(model: Model, features_of: DataFrame) -> Model:
+    """One round of expectation-maximization over every document's feature ids; each task sums its counts before the shuffle."""
     k = len(model.areas) + 1
-    shared = documents.sparkSession.sparkContext.broadcast((model, known))
+    shared = features_of.sparkSession.sparkContext.broadcast((model.areas, model.weights))
 
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, items = shared.value
-        counts = np.zeros((len(m.vocabulary), k))
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        areas, weights = shared.value
+        m = Model(areas, {}, weights, np.ones(k - 1), np.zeros(k - 1))
+        counts = np.zeros((len(weights), k))
         for b in batches:
-            for at in range(0, len(b), 2000):
-                texts = [t for t in b[column].iloc[at : at + 2000] if isinstance(t, str)]
-                add_counts(counts, m, m.known(texts, items), len(texts), None)
+            add_counts(counts, m, unpacked(b), len(b), None)
         used = np.nonzero(counts.sum(1) > 0)[0]
-        yield pd.DataFrame({"f": used, **{f"c{i}": counts[used, i] for i in range(k)}})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(counts[used, i]) for i in range(k))], names=["f", *(f"c{i}" for i in range(k))])
 
     shape = "f long, " + ", ".join(f"c{i} double" for i in range(k))
-    summed = spread(documents.where(F.col(column).isNotNull()).select(column)).mapInPandas(expect, shape).groupBy("f").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
+    summed = features_of.select("ids", "lengths").mapInArrow(expect, shape).groupBy("f").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)])
     counts = np.zeros((len(model.vocabulary), k))
     for r in bounded_rows(summed, len(model.vocabulary), "the model's vocabulary"):
         counts[r[0]] = r[1:]
     return Model(model.areas, model.vocabulary, complement_weights(counts), model.slope, model.shift)
 
 
-def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, key: str, column: str, labelled: int = LABELLED) -> tuple[Model, Passages]:
+def unpacked(batch: pa.RecordBatch) -> Known:
+    """Feature ids, sentence starts and document numbers of a batch of the feature table."""
+    ids, lengths = batch.column(batch.schema.get_field_index("ids")), batch.column(batch.schema.get_field_index("lengths"))
+    flat, each = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(batch)), lengths.value_lengths().to_numpy(zero_copy_only=False))
+    return flat, np.cumsum(each) - each, owner
+
+
+def packed(keys: pa.Array, known: Known, name: str) -> pa.RecordBatch:
+    """The documents that have any known feature, as rows (key, ids, lengths of the sentences)."""
+    ids, starts, owner = known
+    lengths = np.diff(np.append(starts, len(ids)))
+    have = np.unique(owner)
+    sentences_of = np.bincount(owner, minlength=len(keys))[have]
+    ids_of = np.bincount(owner, weights=lengths, minlength=len(keys)).astype(np.int64)[have]
+    lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int32()))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(have)), lists(ids_of, ids), lists(sentences_of, lengths)], names=[name, "ids", "lengths"])
+
+
+def feature_table(documents: DataFrame, key: str, column: str, model: Model, quotes: Passages) -> DataFrame:
+    """(key, ids, lengths) of every document with known features, kept in the shared folder."""
+    shared = documents.sparkSession.sparkContext.broadcast((model, quotes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, items = shared.value
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                some = b.slice(at, 2000)
+                skips = [set(x) if x else None for x in some.column(2).to_pylist()] if some.num_columns > 2 else None
+                yield packed(some.column(0), m.known(some.column(1).to_pylist(), items, skips), key)
+
+    kind = documents.schema[key].dataType.simpleString()
+    columns = [key, column] + [c for c in documents.columns if c == SKIP]
+    return kept(documents.where(F.col(column).isNotNull()).select(*columns).mapInArrow(run, f"`{key}` {kind}, ids array<int>, lengths array<int>"))
+
+
+SKIP = "__skip"
+
+
+def marked(documents: DataFrame, key: str, column: str, items: list[DataFrame]) -> DataFrame:
+    """documents with the numbers of the sentences that quote an item; each block of items is met in a pass of its own."""
+    texts = documents.where(F.col(column).isNotNull()).select(key, column).withColumn("__hash", F.xxhash64(column))
+    hits = None
+    for block in items:
+        shared = documents.sparkSession.sparkContext.broadcast(passages([r[0] for r in block.collect()]))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(k, h, n) for k, t, h in zip(b[key], b[column], b["__hash"]) for n, ws in enumerate(sentences(t)) if shared.value.quoted(ws)]
+                yield pd.DataFrame(rows, columns=[key, "__hash", "n"]).astype({key: "int64", "__hash": "int64", "n": "int32"})
+
+        found = texts.where(F.col(key).isNotNull()).mapInPandas(run, f"`{key}` long, __hash long, n int")
+        hits = found if hits is None else hits.unionByName(found)
+    return texts.join(hits.groupBy(key, "__hash").agg(F.collect_set("n").alias(SKIP)), [key, "__hash"], "left").drop("__hash")
+
+
+def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, key: str, column: str, labelled: int = LABELLED, most_chars: int = MOST_ITEM_CHARS) -> tuple[Model, Passages, DataFrame]:
+    """The model, the evaluation passages (none if they were taken in blocks) and the feature table of all documents."""
     names = sorted(r[0] for r in bounded_rows(areas.where("area IS NOT NULL").select("area").distinct(), MOST_AREAS, "the list of areas"))
-    known = passages([r[0] for r in bounded_rows(items.select("texto").distinct(), MOST_ITEMS, "the evaluation items")])
+    parts = blocks(items.where("texto IS NOT NULL").select("texto").distinct(), F.length("texto"), most_chars)
+    if len(parts) == 1:
+        known = passages([r[0] for r in parts[0].collect()])
+    else:
+        known, documents = passages([]), marked(documents, key, column, parts)
     own = labels.where(F.col(key).isNotNull() & F.col("area").isin(names)).groupBy(key).agg(F.collect_set("area").alias("__own"))
     # the sample is chosen among the labels, then met in one scan: the texts are not shuffled
     chosen = F.broadcast(own.orderBy(F.xxhash64(key), key).limit(labelled))
-    sample = documents.where(F.col(column).isNotNull()).select(key, column).join(chosen, key).collect()
+    sample = documents.where(F.col(column).isNotNull()).select(key, column, *[c for c in documents.columns if c == SKIP]).join(chosen, key).collect()
     sample.sort(key=lambda r: r[key])
-    model, features_of, prior = fit_labelled([r[column] for r in sample], [set(r["__own"]) for r in sample], names, known)
+    skips = [set(r[SKIP] or ()) for r in sample] if len(parts) > 1 else None
+    model, features_of, prior = fit_labelled([r[column] for r in sample], [set(r["__own"]) for r in sample], names, known, skips)
+    table = feature_table(documents, key, column, model, known)
     if model.vocabulary:
         for _ in range(ROUNDS_ALL):
-            model = refined(model, documents, column, known)
+            model = refined(model, table)
     calibrate(model, features_of, prior)
-    return model, known
+    return model, known, table
+
 
+def decided(p: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, area, sentences, all its sentences on any area): each area's posterior is judged for itself."""
+    sentence, area = np.nonzero(p >= 0.5)
+    total = np.bincount(owner[(p >= 0.5).any(1)], minlength=int(owner.max(initial=-1)) + 1)
+    pair, n = np.unique(owner[sentence] * p.shape[1] + area, return_counts=True)
+    document = pair // p.shape[1]
+    return document, pair % p.shape[1], n, total[document]
 
-def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", labelled: int = LABELLED) -> DataFrame:
+
+def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", labelled: int = LABELLED, most_chars: int = MOST_ITEM_CHARS) -> DataFrame:
     """(doc_id, area, sentences, share): sentences on each area and their share of all sentences on any area.
 
-    A sentence is on the area of the highest calibrated posterior, if that is at least a half; else on none, as are
-    sentences of evaluation items. Null, empty and junk documents have no row; without labels there is no model and no
+    A sentence is on every area of which its calibrated posterior is at least a half, each judged independently; sentences
+    of evaluation items are on none. Null, empty and junk documents have no row; without labels there is no model and no
     row; repeated labels count once, labels outside the list of areas and null ids are left out.
     """
-    model, known = fitted(documents, labels, areas, items, key, column, labelled)
-    shared = documents.sparkSession.sparkContext.broadcast((model, known))
+    model, _, table = fitted(documents, labels, areas, items, key, column, labelled, most_chars)
+    shared = documents.sparkSession.sparkContext.broadcast((model.areas, model.weights, model.slope, model.shift))
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, quotes = shared.value
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, *learned = shared.value
+        m = Model(names, {}, *learned)
         for b in batches:
-            out = []
-            for at in range(0, len(b), 2000):
-                keys = b[key].iloc[at : at + 2000].tolist()
-                texts = [t if isinstance(t, str) else None for t in b[column].iloc[at : at + 2000]]
-                scores, owner = m.scores(texts, quotes)
-                if not len(owner):
-                    continue
-                p = m.posteriors(scores)
-                best, sure = p.argmax(1), p.max(1) >= 0.5
-                tally = Counter(zip(owner[sure].tolist(), best[sure].tolist()))
-                total = Counter(owner[sure].tolist())
-                out += [(keys[n], m.areas[c], k, k / total[n]) for (n, c), k in tally.items()]
-            yield pd.DataFrame(out, columns=[key, "area", "sentences", "share"]).astype({key: "int64"})
-
-    return spread(documents.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, column)).mapInPandas(classify, f"{key} long, area string, sentences long, share double")
+            ids, starts, owner = unpacked(b)
+            if len(starts):
+                document, area, n, total = decided(m.posteriors(m.summed(ids, starts)), owner)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(document)), pa.array(names).take(pa.array(area)), pa.array(n, pa.int64()), pa.array(n / total)], names=[key, "area", "sentences", "share"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return table.where(F.col(key).isNotNull()).mapInArrow(classify, f"`{key}` {kind}, area string, sentences long, share double")
 
 
 def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, **how) -> DataFrame:

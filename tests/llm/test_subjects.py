@@ -3,9 +3,10 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
-from gridpulse.llm.subjects import Model, features, fitted, passages, sentences, subject_shares, subjects
+from gridpulse.llm.subjects import Model, decided, features, fitted, passages, sentences, subject_shares, subjects
 
 AREAS = {"agua": (["la cisterna", "el pozo", "la motobomba"], ["perdió el cebado", "derramó por una junta", "quedó vacía"]), "deporte": (["el torneo", "la selección", "el lanzador"], ["empató en la novena", "cayó en semifinales", "ganó por dos carreras"]), "salud": (["la enfermera", "la consulta", "el quirófano"], ["repartió sueros", "tomó la presión", "aplazó operaciones"])}
 GENERAL = ["No hubo más detalles al cierre.", "Somos jueces y parte.", "Se informará por los canales habituales."]
@@ -75,11 +76,26 @@ def test_planted_areas_are_found(spark):
     assert subjects(args[0], none, areas, items).count() == 0 and subjects(args[0].limit(0), *args[1:]).count() == 0
 
 
+def test_areas_of_a_sentence_are_judged_one_by_one():
+    p = np.array([[0.9, 0.6, 0.1], [0.2, 0.5, 0.1], [0.1, 0.1, 0.1], [0.1, 0.1, 0.7]])
+    got = {(int(d), int(a), int(n), int(m)) for d, a, n, m in zip(*decided(p, np.array([0, 0, 0, 2])))}
+    assert got == {(0, 0, 1, 2), (0, 1, 2, 2), (2, 2, 1, 1)}
+
+
+def test_items_in_blocks_give_the_same_as_at_once(spark):
+    docs, truth = corpus(60, 5)
+    quotes = [f"La motobomba de Gritrodosa {n} entró fuera de su turno con Farlenca." for n in range(8)]
+    docs += [(700 + n, f"El pozo quedó vacío. {q} {q}\n{q}", "c") for n, q in enumerate(quotes)]
+    args = [spark.createDataFrame(docs, D), spark.createDataFrame([(i, a) for i in range(30) for a in truth[i]], L), spark.createDataFrame([(a, "x") for a in AREAS], "area string, descripcion string"), spark.createDataFrame(list(enumerate(quotes)), "item_id int, texto string")]
+    once, cut = (sorted(map(tuple, subject_shares(*args, **how).collect())) for how in ({}, {"most_chars": 130}))
+    assert once == cut and len(once) > 60 and {r[1] for r in once if r[0] >= 700} <= {"agua"}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
 def test_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels, areas, items = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "etiquetas", "areas", "pruebas"))
-    model, known = fitted(docs, labels.where("doc_id % 2 = 0"), areas, items, "doc_id", "text")
+    model, known, _ = fitted(docs, labels.where("doc_id % 2 = 0"), areas, items, "doc_id", "text")
     truth = {}
     for r in labels.where("doc_id % 2 = 1").collect():
         truth.setdefault(r.doc_id, set()).add(r.area)
@@ -87,8 +103,8 @@ def test_held_out_labels(spark):
     for r in docs.where("doc_id % 2 = 1 AND text IS NOT NULL").select("doc_id", "text").collect():
         if r.doc_id in truth:
             p = model.posteriors(model.scores([r.text], known)[0])
-            best = p.argmax(1)[p.max(1) >= 0.5] if len(p) else []
-            got = {model.areas[c] for c in set(best) if (best == c).mean() >= 0.25}
+            _, area, n, total = decided(p, np.zeros(len(p), int))
+            got = {model.areas[c] for c, k, m in zip(area, n, total) if k / m >= 0.25}
             hits, made, have = hits + len(got & truth[r.doc_id]), made + len(got), have + len(truth[r.doc_id])
     # the labels themselves are not all right
     assert hits / made > 0.9 and hits / have > 0.93
