@@ -45,6 +45,7 @@ _STOP = re.compile(r"(?<=[.!?;])\s+|\n+")
 #: A word, or the end of a sentence.
 _PIECE = re.compile(r"[^\W\d_]+|[.!?;](?=\s)|\n")
 _ENDS = {end: -2 for end in ".!?;\n"}
+_DIGITS = set("0123456789")
 _WORD, _NUMBER = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"\d+")
 
 
@@ -100,6 +101,32 @@ def passages(texts: list[str | None]) -> Passages:
 Known = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+class Seen(dict):
+    """Numbers of words as they are written, folded when first met; marks: those whose folded form is a mark."""
+
+    def __init__(self, numbers: dict[str, int], names: set[str]):
+        super().__init__(_ENDS)
+        self.numbers, self.names, self.marks = numbers, names, set()
+        self.plain, self.odd = set(), set()
+
+    def __missing__(self, word: str) -> int:
+        form = fold(word)
+        if form in self.names:
+            self.marks.add(word)
+        n = self.numbers.get(form, -1)
+        if len(self) < 1 << 20:
+            self[word] = n
+        return n
+
+    def folds_by_word(self, chars: set[str]) -> bool:
+        """Folding these characters moves no border of a word or a sentence, so words may be folded one by one."""
+        for ch in chars - self.plain - self.odd:
+            form, low = fold(ch), ch.lower()
+            same = form == low or (len(low) == len(form) == 1 and low.isalpha() and form.isalpha())
+            (self.plain if same and not (low.isalnum() and not low.isalpha() and not low.isdecimal()) else self.odd).add(ch)
+        return chars.isdisjoint(self.odd)
+
+
 @dataclass
 class Model:
     areas: list[str]
@@ -108,6 +135,7 @@ class Model:
     slope: np.ndarray
     shift: np.ndarray
     _lexicon: tuple | None = None
+    _seen: Seen | None = None
 
     def lexicon(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
         """Numbers of words, and the sorted keys of pairs of them with their feature ids."""
@@ -137,23 +165,28 @@ class Model:
         numbers of the sentences to leave out instead, if the items were searched in blocks before.
         """
         numbers, single, pair_keys, pair_ids = self.lexicon()
-        get, names = numbers.get, quotes.marks
+        if self._seen is None or self._seen.names is not quotes.marks:
+            self._seen = Seen(numbers, quotes.marks)
+        seen = self._seen
         flat: list[int] = []
         lengths: list[int] = []
         for n, text in enumerate(texts):
             if not text:
                 lengths.append(0)
                 continue
-            plain = clean(text)
+            chars = set(text)
+            plain = _PREFIX.sub("", text.lower().replace("\r", "\n")) if seen.folds_by_word(chars) else clean(text)
             pieces = _PIECE.findall(plain)
+            own = [seen[w] for w in pieces]
             if skips:
-                if skips[n]:
-                    pieces = [w for ws in quotes.plain(text, skips[n]) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
-            elif not (names.isdisjoint(pieces) and names.isdisjoint(_NUMBER.findall(plain))):
-                pieces = [w for ws in quotes.plain(text) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
-            flat += [get(w, -1) for w in pieces]
+                quoting = bool(skips[n])
+            else:
+                quoting = not seen.marks.isdisjoint(pieces) or not (_DIGITS.isdisjoint(chars) and plain.isascii() or seen.names.isdisjoint(_NUMBER.findall(plain)))
+            if quoting:
+                own = [numbers.get(w, -1) for ws in quotes.plain(text, skips[n] if skips else None) for w in [*(x for x in ws if not x.isdigit()), "\n"]]
+            flat += own
             flat.append(-2)
-            lengths.append(len(pieces) + 1)
+            lengths.append(len(own) + 1)
         x = np.array(flat, dtype=np.int64)
         if not len(x):
             none = np.empty(0, dtype=np.int64)
@@ -274,7 +307,7 @@ def refined(model: Model, features_of: DataFrame) -> Model:
         areas, weights = shared.value
         m = Model(areas, {}, weights, np.ones(k - 1), np.zeros(k - 1))
         counts = np.zeros((len(weights), k))
-        for b in batches:
+        for b in small_batches(batches):
             add_counts(counts, m, unpacked(b), len(b), None)
         used = np.nonzero(counts.sum(1) > 0)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(counts[used, i]) for i in range(k))], names=["f", *(f"c{i}" for i in range(k))])
@@ -287,6 +320,13 @@ def refined(model: Model, features_of: DataFrame) -> Model:
     return Model(model.areas, model.vocabulary, complement_weights(counts), model.slope, model.shift)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Pieces whose scores fit the processor's cache."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def unpacked(batch: pa.RecordBatch) -> Known:
     """Feature ids, sentence starts and document numbers of a batch of the feature table."""
     ids, lengths = batch.column(batch.schema.get_field_index("ids")), batch.column(batch.schema.get_field_index("lengths"))
@@ -388,7 +428,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, it
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, *learned = shared.value
         m = Model(names, {}, *learned)
-        for b in batches:
+        for b in small_batches(batches):
             ids, starts, owner = unpacked(b)
             if len(starts):
                 document, area, n, total = decided(m.posteriors(m.summed(ids, starts)), owner)
