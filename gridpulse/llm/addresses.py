@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.llm.gazetteer import MOST_ENTRIES, WORD, attached, deletions
 from gridpulse.llm.words import fold
 from gridpulse.plans.lineage import bounded_rows, settled, spread
 
@@ -67,15 +68,6 @@ PARSED = (
 )
 
 
-def deletions(word: str, edits: int = 1) -> set[str]:
-    """The word and what is left of it after up to so many deletions."""
-    found, last = {word}, {word}
-    for _ in range(edits):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        found |= last
-    return found
-
-
 def distance(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -134,6 +126,12 @@ def barrio_parts(tokens: list[str]) -> tuple[str, str, str]:
     return lead, " ".join(rest[:-1] if tail else rest), tail
 
 
+def stem_of(name: str) -> str:
+    """The part of a neighbourhood's name without its added words."""
+    words = WORD.findall(fold(name))
+    return barrio_parts(words)[1] if words else ""
+
+
 class Parser:
     """gazetteer: (name, municipality) of the neighbourhoods; its size is bounded by the city."""
 

@@ -1,7 +1,9 @@
 """Mapping free-entered places to the entries of a reference list (problem 4).
 
 A multi-pattern automaton over canonical names and their aliases finds embedded mentions; the longest match that does not
-overlap another wins; values without a mention are searched for an entry's stem, word by word with typing errors.
+overlap another wins. Values without a mention go to token-set similarity: the value's words, misspelt ones taken for the
+nearest word of the list, are a set, and an entry's score is the share of its words' letters found in that set, in any
+order. Candidates come from an index of each entry's rarest words, as many as leave too little for the least score.
 
 Rules: an added word ("Alturas de", "Viejo") is part of a name, so a mention whose neighbouring added word belongs to no
 alias of the entry is another place, which is not on the list; a bare name stands for an entry with a leading word only
@@ -10,7 +12,7 @@ if no other entry bears that name; a municipality that contradicts the entry's o
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,13 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.addresses import LEADS, LINK, TAILS, Fuzzy, barrio_parts, within_one
+from gridpulse.llm.addresses import LEADS, LINK, TAILS, Fuzzy, barrio_parts, distance, stem_of, within_one
+from gridpulse.llm.gazetteer import MOST_ENTRIES, WORD, attached
 from gridpulse.llm.words import fold
-from gridpulse.plans.lineage import bounded_rows, spread
+from gridpulse.plans.lineage import within
 
-MOST_ENTRIES = 50_000
 NONE = -1
-_WORD = re.compile(r"[a-z0-9]+")
+#: Least share of an entry's letters that a value must hold.
+SIMILAR = 0.75
+#: Words that carry no weight in a set.
+LIGHT = {"el", "la", "los", "las", "de", "del", "y", "en"}
 
 
 class Places:
@@ -34,19 +39,27 @@ class Places:
         family: dict[str, set[int]] = {}
         self.towns: set[str] = set()
         for key, name, town in entries:
-            words = _WORD.findall(fold(name or ""))
+            words = WORD.findall(fold(name or ""))
             if not words:
                 continue
             parts = barrio_parts(words)
-            town = " ".join(_WORD.findall(fold(town or "")))
+            town = " ".join(WORD.findall(fold(town or "")))
             self.entry[key] = (parts, town)
             family.setdefault(parts[1], set()).add(key)
             if town:
                 self.towns.add(town)
         self.family = family
-        self.stems = {tuple(stem.split()): stem for stem in family}
-        self.widths = sorted({len(ws) for ws in self.stems}, reverse=True)
-        self.stem_words = Fuzzy({w for ws in self.stems for w in ws}, 2)
+        self.weights = {stem: {w: len(w) for w in stem.split() if w not in LIGHT} or {w: len(w) for w in stem.split()} for stem in family}
+        self.stem_words = Fuzzy({w for ws in self.weights.values() for w in ws}, 2)
+        used = Counter(w for ws in self.weights.values() for w in ws)
+        self.prefix: dict[str, list[str]] = {}
+        for stem, ws in self.weights.items():
+            rest = sum(ws.values())
+            for w in sorted(ws, key=lambda w: (used[w], w)):
+                if rest < SIMILAR * sum(ws.values()):  # without the words before, the score can't be reached
+                    break
+                self.prefix.setdefault(w, []).append(stem)
+                rest -= ws[w]
         self.exact = {parts: key for key, (parts, _) in self.entry.items()}
         self.town_words = Fuzzy({w for t in self.towns for w in t.split()})
         self.automaton = ahocorasick.Automaton()
@@ -71,7 +84,7 @@ class Places:
         self.find = lru_cache(1 << 17)(self._find)
 
     def _find(self, text: str) -> int:
-        words = _WORD.findall(fold(text))
+        words = WORD.findall(fold(text))
         if not words or not self.entry:
             return NONE
         return key if (key := self.mention(words)) is not None else self.similar(words)
@@ -102,22 +115,32 @@ class Places:
             return self.exact.get((lead or used[0], parts[1], tail or used[2]), NONE)
         return key if self.agrees(key, before + after) else NONE
 
+    def scored(self, words: list[str]) -> list[tuple[int, int, int, str]]:
+        """(letters missing less letters found, first and last place, stem) of each similar stem, best first."""
+        at: dict[str, tuple[int, int]] = {}  # each word of the list: letters that agree, at which place
+        for i, w in enumerate(words):
+            if near := self.stem_words.find(w):
+                agree = len(near) - (0 if near == w else distance(w, near))
+                if near not in at or agree > at[near][0]:
+                    at[near] = (agree, i)
+        found = []
+        for stem in {stem for w in at for stem in self.prefix.get(w, ())}:
+            ws = self.weights[stem]
+            met = [at[w] for w in ws if w in at]
+            agree, total = sum(n for n, _ in met), sum(ws.values())
+            if agree >= SIMILAR * total:
+                places = [i for _, i in met]
+                found.append((total - 2 * agree, min(places), max(places), stem))
+        return sorted(found)
+
     def similar(self, words: list[str]) -> int:
-        """The first entry whose stem stands in the value, with one typing error in words of 5 to 7 letters and two in longer ones.
+        """The most similar entry that its added words and municipality do not exclude; ties go to the one named first.
 
-        At each word the longest stem counts; what its added words or municipality exclude is passed over. Other words of
-        the value may be anything.
+        Words of 5 to 7 letters may have one typing error, longer ones two. Other words of the value may be anything.
         """
-        near = [self.stem_words.find(w) for w in words]
-        i = 0
-        while i < len(words):
-            stem = next((x for n in self.widths if (x := self.stems.get(tuple(near[i : i + n])))), None)
-            if stem is None:
-                i += 1
-                continue
-            end = i + stem.count(" ") + 1
-            before, after = words[:i], words[end:]
-            while before and before[-1] in LINK:
+        for _, first, last, stem in self.scored(words):
+            before, after = words[:first], words[last + 1 :]
+            while before and before[-1] in LIGHT - set(LEADS):
                 before = before[:-1]
             lead = near_word(before[-1], LEADS) if before else ""
             tail = near_word(after[0], TAILS) if after else ""
@@ -127,7 +150,6 @@ class Places:
                 key = only if self.entry[only][0][0] and not self.entry[only][0][2] and lead in ("", self.entry[only][0][0]) else None
             if key is not None and self.agrees(key, before + after):
                 return key
-            i = end
         return NONE
 
 
@@ -139,22 +161,42 @@ def near_word(word: str, table: dict[str, str]) -> str:
     return next((meant for written, meant in table.items() if len(written) >= 5 and within_one(word, written)), "")
 
 
-def mapped(values: DataFrame, key: str, column: str, entries: DataFrame) -> DataFrame:
-    """(key, barrio_id): the entry that each value means, -1 if none, for each key whose value is not null or blank.
+@lru_cache(64)
+def places_of(entries: tuple[tuple[int, str, str | None], ...]) -> Places:
+    """One for each list in a Python worker, whatever the number of its tasks."""
+    return Places(list(entries))
 
-    entries: barrio_id, nombre, municipio, at most MOST_ENTRIES rows. The values never move: each is mapped where it lies,
-    and a repeated value costs a look-up. A key with several values takes the entry of the first found in order of id,
-    and -1 only if none of them means an entry. An empty list of entries maps everything to -1.
-    """
-    listed = [(int(r.barrio_id), r.nombre, r.municipio) for r in bounded_rows(entries.where("barrio_id IS NOT NULL").select("barrio_id", "nombre", "municipio").distinct().orderBy("barrio_id"), MOST_ENTRIES, "the reference list")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Places(listed)
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "barrio_id": [places.find(v) for v in b["v"]]})
+def mapped(values: DataFrame, key: str, column: str, entries: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """(key, barrio_id): the entry that each value means, -1 if none, for each key whose value is not null or blank.
 
+    entries: barrio_id, nombre, municipio. Up to `most` entries are handed to every task: the values never move, each is
+    mapped where it lies, and a repeated value costs a look-up. Beyond, every distinct value is joined with the entries
+    near its own words and mapped among those, with the same result. A key with several values takes the entry of the first
+    found in order of id, and -1 only if none of them means an entry. An empty list of entries maps everything to -1.
+    """
     # \p{Z} and the like: a value of odd spaces only is blank
     visible = F.regexp_replace(F.col(column), r"[\s\p{Z}\p{Cf}\p{Cc}]+", "") != ""
-    found = spread(values.where(F.col(key).isNotNull() & F.col(column).isNotNull() & visible).select(F.col(key).alias("k"), F.col(column).alias("v"))).mapInPandas(run, "k long, barrio_id int")
+    asked = values.where(F.col(key).isNotNull() & F.col(column).isNotNull() & visible).select(F.col(key).alias("k"), F.col(column).alias("v"))
+    listed = entries.where("barrio_id IS NOT NULL AND nombre IS NOT NULL").select("barrio_id", "nombre", "municipio").distinct().orderBy("barrio_id", "nombre", "municipio")
+    if within(listed, most):
+        shared = values.sparkSession.sparkContext.broadcast(tuple((int(r.barrio_id), r.nombre, r.municipio) for r in listed.collect()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            places = places_of(shared.value)
+            for b in batches:
+                yield pd.DataFrame({"k": b["k"], "barrio_id": [places.find(v) for v in b["v"]]})
+
+        found = asked.mapInPandas(run, "k long, barrio_id int")
+    else:
+        texts = asked.select("v").distinct().withColumn("n", F.xxhash64("v"))
+        near = attached(texts, "n", "v", listed, stem_of)
+
+        def among(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                lists = [tuple((e["barrio_id"], e["nombre"], e["municipio"]) for e in es) if es is not None else () for es in b["entries"]]
+                yield pd.DataFrame({"v": b["v"], "barrio_id": [places_of(es).find(v) for v, es in zip(b["v"], lists)]})
+
+        found = texts.join(near, "n", "left").select("v", "entries").mapInPandas(among, "v string, barrio_id int").join(asked, "v").select("k", "barrio_id")
     best = F.coalesce(F.min(F.when(F.col("barrio_id") != NONE, F.col("barrio_id"))), F.lit(NONE))
     return found.groupBy(F.col("k").alias(key)).agg(best.cast("int").alias("barrio_id"))

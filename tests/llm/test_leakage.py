@@ -24,6 +24,8 @@ def test_equals_brute_force(spark):
         docs.append((n, text.upper() if rnd.random() < 0.3 else text, 3))
     docs += [(900, None, 3), (901, "", 3), (902, "a " * 40_000, 3), (None, items[0][1], 3)]
     got = [tuple(r) for r in leaks(spark.createDataFrame(docs + docs[:5], D), spark.createDataFrame(items + items[:2], I)).collect()]
+    cut = leaks(spark.createDataFrame(docs, D), spark.createDataFrame(items, I), most=300).collect()
+    assert sorted(map(tuple, cut)) == sorted(got)  # items in blocks
     want = set()
     for d, text, _ in docs:
         w = words(text)
