@@ -3,6 +3,11 @@
 Addresses are parsed into components, abbreviations are expanded from locale dictionaries, the order is made
 canonical, and records join on hierarchical keys with explicit rules for missing components.
 
+Streets
+    A street is all words of its name (of any length where its type or a marked number says that it is one), a letter behind
+    its number ("5 A"), and its type. The type is told apart only where several types of one name are in use; a street
+    without a type is then of the most frequent one. A house number keeps its letter ("12A").
+
 Locations and their keys
     house     (street, number)            + municipality
     corner    ({street, street})          + municipality
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.gazetteer import MOST_ENTRIES, WORD, attached, deletions
 from gridpulse.llm.words import fold
-from gridpulse.plans.lineage import bounded_rows, settled, spread
+from gridpulse.plans.lineage import settled, small, within
 
 # Abbreviations of Spanish street addresses.
 STREET_TYPES = {
@@ -62,10 +67,17 @@ LINK = {"de", "del"}
 #: Words that open a remark; a remark runs to the next separator.
 REMARKS = {"urgente", "frente", "al", "donde", "detras", "cerca", "casa", "favor", "ojo"}
 
-_TOKEN = re.compile(r"[ce]/|[a-z]+|\d+|#|[,;.\n()]")
-PARSED = (
-    "kind string, street string, number string, other string, barrio string, town string, crossings array<string>"
-)
+_TOKEN = re.compile(r"[ce]/|[a-z]+|\d+(?:[a-df-xz](?![a-z/]))?|#|[,;.\n()]")
+_NUMBER, _LETTER = re.compile(r"\d+[a-z]?"), re.compile(r"(\d) ?- ?([a-df-xz])\b")
+FIELDS = ["kind", "street", "number", "other", "barrio", "town", "crossings", "types"]
+PARSED = "kind string, street string, number string, other string, barrio string, town string, crossings array<string>, types array<string>"
+
+
+def number_of(token: str) -> str | None:
+    """A number without leading zeros, with its letter; None if the token is none."""
+    if not _NUMBER.fullmatch(token):
+        return None
+    return str(int(token)) if token.isdigit() else f"{int(token[:-1])}{token[-1]}"
 
 
 def distance(a: str, b: str, most: int = 2) -> int:
@@ -153,6 +165,7 @@ class Parser:
         stem_words = {w for ws in self.stems for w in ws}
         self.stem_words, self.stem_words_marked = Fuzzy(stem_words), Fuzzy(stem_words, 2)
         self.town_words = Fuzzy({w for t in self.towns for w in t})
+        self.known = set(self.towns.values())
 
     def town_at(self, tokens: list[str], i: int) -> tuple[str, int] | None:
         for words, town in self.towns.items():
@@ -186,7 +199,7 @@ class Parser:
 
     def parse(self, text: str | None) -> dict | None:
         """The components of one address, or None if it denotes no location."""
-        if not text or not (raw := _TOKEN.findall(fold(text.replace("º", "o ").replace("°", "o ")))):
+        if not text or not (raw := _TOKEN.findall(_LETTER.sub(r"\1\2", fold(text.replace("º", "o ").replace("°", "o "))))):
             return None
         tokens: list[str] = []
         for k, t in enumerate(raw):
@@ -233,19 +246,16 @@ class Parser:
 
     @staticmethod
     def locate(tokens: list[str], barrio: str | None, town: str | None) -> dict | None:
-        out = {"barrio": barrio, "town": town, "street": None, "number": None, "other": None, "crossings": []}
+        out = {"barrio": barrio, "town": town, "street": None, "number": None, "other": None, "crossings": [], "types": []}
 
         def number_after(marks: set[str]) -> str | None:
-            for a, b in zip(tokens, tokens[1:]):
-                if a in marks and b.isdigit():
-                    return b
-            return None
+            return next((n for a, b in zip(tokens, tokens[1:]) if a in marks and (n := number_of(b))), None)
 
         if building := number_after(BUILDING):
             zone = number_after(ZONE)
             if not zone or not barrio:
                 return None
-            return out | {"kind": "building", "street": f"zona {int(zone)}", "number": str(int(building))}
+            return out | {"kind": "building", "street": f"zona {zone}", "number": building}
         pieces: list[tuple[str, list[str]]] = [("", [])]  # (what opened it, its tokens)
         for k, t in enumerate(tokens):
             last = tokens[k - 1] if k else ""
@@ -255,7 +265,7 @@ class Parser:
                 pieces.append(("near" if last == "casi" else "corner", []))
             elif t == "casi":
                 continue
-            elif t in ("y", "con", "a") and k + 1 < len(tokens):
+            elif t in ("y", "con", "a") and k + 1 < len(tokens) and not (t == "a" and tokens[k + 1] in NUMBER_MARKS):
                 pieces.append(("and", []))
             elif t == "c/" and pieces[-1][1] and pieces[-1][1][-1] not in (",", ";", ".", "\n") and "de" not in pieces[-1][1][-1:]:
                 pieces.append(("and", []))
@@ -265,144 +275,196 @@ class Parser:
                 pieces[-1][1].append("c" if t == "c/" else t)
         house = None
         streets: list[tuple[str, str]] = []
+        types: dict[str, str] = {}
         for how, words in pieces:
             if (street := street_of(words)) is None:
                 if how == "corner" and not words:
                     streets.append(("corner", ""))
                 continue
-            name, number = street
+            name, number, kind = street
+            if kind:
+                types.setdefault(name, kind)
             if number and not house and how in ("", "cut"):
                 house = (name, number)
             elif name:
                 streets.append((how, name))
         if not house and not any(h in ("corner", "and") for h, _ in streets):  # "Grazumales; # 4024"
-            lone = next((b for a, b in zip(tokens, tokens[1:]) if a in NUMBER_MARKS and b.isdigit()), None)
+            lone = number_after(NUMBER_MARKS)
             if lone and streets and streets[0][0] in ("", "cut"):
-                house = (streets[0][1], str(int(lone)))
+                house = (streets[0][1], lone)
         out["crossings"] = sorted({n for _, n in streets if n and (not house or n != house[0])})
         if house:
-            return out | {"kind": "house", "street": house[0], "number": house[1]}
+            return out | {"kind": "house", "street": house[0], "number": house[1], "types": [types.get(house[0], ""), ""]}
         hows = [h for h, n in streets]
         names = [n for _, n in streets if n]
         if "between" in hows or "near" in hows or len(set(names)) != 2:
             return None
         if "corner" in hows or "and" in hows:
             a, b = sorted(set(names))
-            return out | {"kind": "corner", "street": a, "other": b, "crossings": []}
+            return out | {"kind": "corner", "street": a, "other": b, "crossings": [], "types": [types.get(a, ""), types.get(b, "")]}
         return None
 
 
-def street_of(words: list[str]) -> tuple[str, str | None] | None:
-    """(street, number) of the tokens of one piece; None if there is no street in it.
+def street_of(words: list[str]) -> tuple[str, str | None, str] | None:
+    """(street, number, type or '') of the tokens of one piece; None if there is no street in it.
 
-    A name is all words up to the number or a separator, or the first word where the piece has no number; a single word of less than four
-    letters is no name.
+    A name is all words up to the number or a separator. A single word of less than four letters is a name if a type
+    stands before it or the number is marked; the letter behind a numbered street is part of its name.
     """
-    number = None
+    number, marked = None, False
     rest: list[str] = []
+    kind = ""
     i = 0
     while i < len(words):
-        if words[i] in NUMBER_MARKS and i + 1 < len(words) and words[i + 1].isdigit():
-            if number is None:
-                number = str(int(words[i + 1]))
+        ahead = words[i + 1] if i + 1 < len(words) else ""
+        if words[i] in NUMBER_MARKS and (n := number_of(ahead)):
+            number, marked = number or n, True
             i += 2
             if i < len(words) and words[i] == "de":
                 i += 1
+        elif words[i].isdigit() and not rest and kind and len(ahead) == 1 and ahead.isalpha() and (i + 2 == len(words) or words[i + 2] in NUMBER_MARKS or not words[i + 2].isalpha()):
+            rest.append(words[i] + ahead)
+            i += 2
+        elif words[i] in STREET_TYPES:
+            kind = kind or STREET_TYPES[words[i]]
+            i += 1
         else:
             rest.append(words[i])
             i += 1
-    rest = [w for w in rest if w not in STREET_TYPES]
     while rest and rest[0] in (",", ".", "de", "del", "la", "el", "los", "las"):
         rest = rest[1:]
     if not rest:
         return None
-    name = str(int(rest[0])) if rest[0].isdigit() else rest[0]
     end = next((k for k, w in enumerate(rest) if k and not w.isalpha()), len(rest))
     while end < len(rest) and rest[end] in (",", "."):
         rest.pop(end)
-    # the code of a circuit is no name with a number
-    if name.isalpha() and name != "circuito" and (number is not None or (end < len(rest) and rest[end].isdigit())):
+    name = number_of(rest[0]) or rest[0]
+    if name[0].isdigit():
+        end = 1
+    elif name.isalpha() and name != "circuito":  # the code of a circuit is no name with a number
         name = " ".join(rest[:end])
     else:
         end = 1
-    if end < len(rest) and number is None and rest[end].isdigit():
-        number = str(int(rest[end]))
-    if name.isalpha() and len(name) < 4:
+    if number is None and end < len(rest):
+        number = number_of(rest[end])
+    if name.isalpha() and len(name) < 4 and not (kind or marked):
         return None
-    return name, number
+    return name, number, kind
 
 
-#: Most rows of a gazetteer that is handed to every task.
-MOST_BARRIOS = 50_000
-#: Most corrected street names that are broadcast.
+#: Most corrected street names that are broadcast; more are joined by a shuffle.
 MOST_CORRECTIONS = 100_000
+#: A spelling is a mistake for another that is so many times as frequent.
+RATIO = 3
+#: Rows that a mistake has at most, if the right spelling is less than RATIO times as frequent.
+RARE = 2
+#: Share of a name's rows that a type has at least to be a street of its own.
+TYPE_SHARE = 0.1
+
+
+@lru_cache(64)
+def parser_of(gazetteer: tuple[tuple[str, str], ...]) -> Parser:
+    """One for each list in a Python worker, whatever the number of its tasks."""
+    return Parser(list(gazetteer))
 
 
-def components(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """records (id, direccion, town or null) parsed; only those that denote a location remain."""
-    names = [(r.nombre, r.municipio) for r in bounded_rows(gazetteer.select("nombre", "municipio").distinct(), MOST_BARRIOS, "the gazetteer")]
+def components(records: DataFrame, gazetteer: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """records (id, direccion, town or null) parsed; only those that denote a location remain.
+
+    Up to `most` entries of the gazetteer are handed to every task; beyond, each address is joined with the entries near
+    its own words and parsed with those, with the same result.
+    """
+    rows = records.where("id IS NOT NULL AND direccion IS NOT NULL").select("id", "direccion", "town")
+    listed = gazetteer.select("barrio_id", "nombre", "municipio").distinct().orderBy("barrio_id", "nombre", "municipio")
+    few = within(listed, most)
+    if few:
+        shared = records.sparkSession.sparkContext.broadcast(tuple((r.nombre, r.municipio) for r in listed.collect()))
+    else:
+        texts = rows.select(F.concat_ws(" ", "direccion", "town").alias("t")).distinct().withColumn("n", F.xxhash64("t"))
+        near = texts.join(attached(texts, "n", "t", listed, stem_of), "n").select("t", "entries")
+        rows = rows.withColumn("t", F.concat_ws(" ", "direccion", "town")).join(near, "t", "left").select("id", "direccion", "town", "entries")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = Parser(names)
-        known = set(parser.towns.values())
         for b in batches:
             out = []
-            for key, text, hint in zip(b["id"], b["direccion"], b["town"]):
+            lists = [shared.value] * len(b) if few else [tuple((e["nombre"], e["municipio"]) for e in es) if es is not None else () for es in b["entries"]]
+            for key, text, hint, entries in zip(b["id"], b["direccion"], b["town"], lists):
+                parser = parser_of(entries)
                 if found := parser.parse(text):
-                    hint = " ".join(re.findall(r"[a-z0-9]+", fold(hint))) if isinstance(hint, str) else None
-                    if not found["town"] and hint in known:
+                    hint = " ".join(WORD.findall(fold(hint))) if isinstance(hint, str) else None
+                    if not found["town"] and hint in parser.known:
                         found["town"] = hint
-                    out.append((key, *(found[c] for c in ("kind", "street", "number", "other", "barrio", "town", "crossings"))))
-            yield pd.DataFrame(out, columns=["id", "kind", "street", "number", "other", "barrio", "town", "crossings"])
+                    out.append((key, *(found[c] for c in FIELDS)))
+            yield pd.DataFrame(out, columns=["id", *FIELDS])
 
-    return spread(records.where("id IS NOT NULL AND direccion IS NOT NULL").select("id", "direccion", "town")).mapInPandas(run, f"id long, {PARSED}").distinct()
+    return rows.mapInPandas(run, f"id long, {PARSED}").distinct()
 
 
 def spelling(names: DataFrame) -> DataFrame:
     """(name, right): each street name, and the more frequent name one typing error away, if there is one.
 
     names: name, n (rows that use it). Candidates share a deletion; among those at most one insertion, deletion,
-    substitution or swap of neighbours apart the most frequent is right. Two steps are followed, so a name with two
-    errors reaches its original over a name with one. Names of less than five letters and numbers stay as they are.
+    substitution or swap of neighbours apart, and RATIO times as frequent (or more frequent than a spelling of at most RARE
+    rows), the most frequent is right: two streets a letter apart that are both in use stay two. Two steps are followed, so
+    a name with two errors reaches its original over a name with one. Names of less than five letters and numbers stay.
     """
     letters = names.where(F.length("name") >= 5)
     keyed = letters.select("name", "n", F.explode(F.array_distinct(F.expr("concat(array(name), transform(sequence(1, length(name)), i -> concat(left(name, i - 1), substring(name, i + 1))))"))).alias("k"))
     a, b = keyed.alias("a"), keyed.alias("b")
     swap = (F.length("a.name") == F.length("b.name")) & (F.array_sort(F.split("a.name", "")) == F.array_sort(F.split("b.name", "")))
     distance = F.levenshtein("a.name", "b.name")
-    better = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.name") < F.col("a.name")))
+    first = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.name") < F.col("a.name")))
+    better = (F.col("b.n") >= RATIO * F.col("a.n")) | ((F.col("a.n") <= RARE) & first)
     step = settled(
-        a.join(b, (F.col("a.k") == F.col("b.k")) & better).where((distance <= 1) | ((distance == 2) & swap))
+        a.join(b, (F.col("a.k") == F.col("b.k")) & better & (F.col("a.name") != F.col("b.name"))).where((distance <= 1) | ((distance == 2) & swap))
         .groupBy(F.col("a.name").alias("name")).agg(F.max_by(F.col("b.name"), F.struct(F.col("b.n"), F.col("b.name"))).alias("to"))
     )
     again = step.select(F.col("name").alias("to"), F.col("to").alias("then"))
     return step.join(again, "to", "left").select("name", F.coalesce("then", "to").alias("right"))
 
 
+def typed(uses: DataFrame) -> DataFrame:
+    """(name, types): the types of a name that are streets of their own, the most frequent first; only names with several.
+
+    uses: name, kind ('' if not written).
+    """
+    n = uses.where("kind <> ''").groupBy("name", "kind").agg(F.count("*").alias("n"))
+    by = n.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "kind")), False).alias("k"), F.sum("n").alias("total"))
+    return by.select("name", F.transform(F.filter("k", lambda x: x["n"] >= TYPE_SHARE * F.col("total")), lambda x: x["kind"]).alias("types")).where("size(types) > 1")
+
+
 def corrected(parts: DataFrame) -> DataFrame:
-    """The components with every street name in its most frequent spelling."""
-    used = parts.where("kind <> 'building'").select(F.explode(F.array_compact(F.concat(F.array("street", "other"), "crossings"))).alias("name")).where("name RLIKE '^[a-z]'")
-    right = spelling(used.groupBy("name").agg(F.count("*").alias("n")))
-    if right.count() <= MOST_CORRECTIONS:  # a city's misspelt names; beyond the bound the join shuffles by name
-        right = F.broadcast(right)
-    out = parts
-    for c in ("street", "other"):
-        out = out.join(right.select(F.col("name").alias(c), F.col("right").alias("__r")), c, "left").withColumn(c, F.coalesce("__r", c)).drop("__r")
-    pieces = out.select("id", F.explode("crossings").alias("name")).join(right, "name", "left").select("id", F.coalesce("right", "name").alias("crossing")).groupBy("id").agg(F.collect_set("crossing").alias("__x"))
-    out = out.join(pieces, "id", "left").withColumn("crossings", F.coalesce("__x", F.array().cast("array<string>"))).drop("__x")
-    swap = F.col("other") < F.col("street")
-    return out.select("id", "kind", F.when(swap, F.col("other")).otherwise(F.col("street")).alias("street"), "number", F.when(swap, F.col("street")).otherwise(F.col("other")).alias("other"), "barrio", "town", "crossings")
+    """The components with every street name in its most frequent spelling, and its type where that tells streets apart.
+
+    All names of a record go through one pass: they are spread to rows, looked up, and gathered again.
+    """
+    role = lambda r, name, kind: F.struct(F.lit(r).alias("role"), name.alias("name"), F.coalesce(kind, F.lit("")).alias("kind"))
+    all_ = F.concat(
+        F.array(role("a", F.col("street"), F.get("types", F.lit(0))), role("b", F.col("other"), F.get("types", F.lit(1)))),
+        F.transform("crossings", lambda c: role("x", c, F.lit(""))),
+    )
+    uses = parts.withColumn("r", F.struct("id", "kind", "street", "number", "other", "barrio", "town")).select("r", F.explode(all_).alias("u")).select("r", "u.role", "u.name", F.col("u.kind").alias("type")).where("name IS NOT NULL")
+    words = uses.where("r.kind <> 'building' AND name RLIKE '^[a-z]'")
+    right = small(spelling(words.groupBy("name").agg(F.count("*").alias("n"))), MOST_CORRECTIONS)
+    spelt = uses.join(right, "name", "left").select("r", "role", F.coalesce("right", "name").alias("name"), "type")
+    several = small(typed(spelt.where("role <> 'x' AND r.kind <> 'building'").select("name", F.col("type").alias("kind"))), MOST_CORRECTIONS)
+    kind = F.when(F.array_contains("types", F.col("type")), F.col("type")).otherwise(F.get("types", F.lit(0)))
+    told = spelt.join(several, "name", "left").select("r", "role", F.when(F.col("types").isNotNull() & (F.col("role") != "x"), F.concat_ws(" ", kind, "name")).otherwise(F.col("name")).alias("name"))
+    named = lambda r: F.max(F.when(F.col("role") == r, F.col("name")))
+    out = told.groupBy("r").agg(named("a").alias("a"), named("b").alias("b"), F.sort_array(F.collect_set(F.when(F.col("role") == "x", F.col("name")))).alias("crossings"))
+    swap = F.col("b") < F.col("a")
+    return out.select("r.id", "r.kind", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("street"), "r.number", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"), "r.barrio", "r.town", "crossings")
 
 
 PLACE = ["kind", "street", "number", "other"]
 
 
-def locations(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def locations(records: DataFrame, gazetteer: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """(id, kind, street, number, other, area, crossings): the location of each record that denotes one.
 
     area is the municipality, for a building the neighbourhood, or '?' for a floating record whose municipality is open.
     """
-    parts = settled(corrected(settled(components(records, gazetteer))))
+    parts = settled(corrected(settled(components(records, gazetteer, most))))
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in PLACE[2:]]
     parts = parts.select("id", "kind", "street", *blank, F.when(F.col("kind") == "building", F.col("barrio")).otherwise(F.col("town")).alias("area"), "crossings")
     fixed, floating = parts.where("area IS NOT NULL"), parts.where("area IS NULL AND kind <> 'building'")
@@ -419,15 +481,13 @@ def locations(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return fixed.select(*cols).unionByName(landed.select(*cols))
 
 
-def same_location(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def same_location(records: DataFrame, gazetteer: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the pairs of records that denote the same location.
 
     Floating records that found no municipality are the same if place and a cross street agree, or one names none.
     """
-    placed = settled(locations(records, gazetteer).distinct())
-    size = placed.groupBy(*PLACE, "area").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    shared = placed.join(size, [*PLACE, "area"], "left_semi")
-    a, b = shared.alias("a"), shared.alias("b")
+    placed = locations(records, gazetteer, most).distinct()
+    a, b = placed.alias("a"), placed.alias("b")
     same = F.col("a.id") < F.col("b.id")
     for c in [*PLACE, "area"]:
         same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
