@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridpulse.llm.visible import LOOKALIKES, Transducer, canonical, compile_mapping, look_same
+from gridpulse.llm.visible import LOOKALIKES, Transducer, canonical, compile_mapping, confusables, look_same, mapping, transducer
 
 T = Transducer()
 
@@ -24,6 +24,26 @@ def test_different(a, b):
     assert T(a) != T(b)
 
 
+@pytest.mark.parametrize("a, b", [("non\u2011stop", "non-stop"), ("a\u2010b", "a-b"), ("Ⅰ", "I"), ("ⅹ", "x"), ("Ⅻ", "XII"), ("\u00b5", "\u03bc"), ("ѵ", "v"), ("ᎪᏢ", "AP"), ("Ⲟ", "O"), ("ꓐꓳ", "BO"), ("е\u0308", "ë"), ("ё", "ë"), ("o\u0302\u0323", "ộ"), ("о\u0323\u0302", "ộ"), ("Ａ\u0301", "Á")])
+def test_same_by_the_public_data(spark, a, b):
+    t = transducer(mapping(spark))
+    assert t(a) == t(b)
+
+
+@pytest.mark.parametrize("a, b", [("Ⅰ", "l"), ("ꓲ", "l"), ("г", "r"), ("ι", "i"), ("–", "-"), ("’", "'"), ("٥", "o"), ("ë", "e"), ("Х", "x"), ("ı", "i"), ("𝐀", "A")])
+def test_different_by_the_public_data(spark, a, b):
+    t = transducer(mapping(spark))
+    assert t(a) != t(b)
+
+
+def test_public_data_makes_a_closed_table_with_whole_clusters(spark):
+    table = dict(mapping(spark))
+    assert not any(ch in table for form in table.values() for ch in form) and len(confusables(spark)) > 120
+    assert sum(len(k) > 1 for k in table) > 2000 and table["о\u0301"] == table["ο\u0301"] == table["o\u0301"] == "ó"
+    with pytest.raises(ValueError):
+        compile_mapping({"ж": "щ", "щ": "ж"})  # a circle
+
+
 def test_mapping_is_closed():
     table = compile_mapping()
     assert not any(ch in table for form in table.values() for ch in form) and all(len(a) == len(b) for a, b in LOOKALIKES)
@@ -43,6 +63,7 @@ def test_pairs_equal_brute_force(spark):
     swaps = [lambda x: x.replace("o", "о"), lambda x: x.replace(" ", " "), lambda x: x.replace("a", "ａ"), lambda x: x + "\u200b", lambda x: x.replace("í", "í"), lambda x: x]
     base = ["sin luz aquí", "sin luz aqui", "otra vez", "", " ", "​"]
     data = [(i, rnd.choice(swaps)(rnd.choice(base)), "clash") for i in range(120)] + [(500, None, "c"), (None, "otra vez", "c"), (501, "x" * 200_000, "c"), (502, "x" * 200_000 + "​", "c")]
+    T = transducer(mapping(spark))
     found = [tuple(r) for r in look_same(spark.createDataFrame(data + data[:10], S), "message_id", "texto").collect()]
     ok = [d for d in data if d[0] is not None and d[1] is not None and T(d[1])]
     want = {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] != b[1] and T(a[1]) == T(b[1])}
