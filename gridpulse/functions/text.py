@@ -33,6 +33,7 @@ TOWN_ALIASES = [
     ("san miguel del padron", "San Miguel del Padrón"),
 ]
 TOTAL_LOSS = r"desconexi[oó]n total del (sistema electroenerg|sen\b)"
+NOISE = r"^@|configura tu @username|bienvenid|para evitar ser silenciad"
 CAUSES = [
     (r"disparo autom[aá]tico por frecuencia|\bDAF\b", "DAF"),
     (r"d[eé]ficit de generaci[oó]n|afectaciones? por d[eé]ficit", "déficit de generación"),
@@ -331,7 +332,9 @@ def numbered_zones(text: Column) -> Column:
 
 
 def promising_comment(text: Column) -> Column:
-    return F.coalesce((F.length(F.btrim(text)) >= 12) & ~has(text, r"^\W*(gracias|buenos d[ií]as|buenas (tardes|noches)|hola)\W*$"), F.lit(False))
+    """Worth an extraction: twelve characters or more and no greeting of the group's bot or mention at its start."""
+    x = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.coalesce((F.length(x) >= 12) & ~has(x, NOISE), F.lit(False))
 
 
 def relevant_post(text: Column) -> Column:

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH, RETRIES = 32, 3
+from gridpulse.plans.lineage import bounded_rows
+
+BATCH, RETRIES, MOST_CANDIDATES = 32, 3, 1_000
 NEAR_M = 2_000.0
 
 
@@ -41,8 +43,11 @@ def due(wanted: DataFrame, cache: DataFrame, attempts: DataFrame, key: str, most
 
 
 def reranked(found: DataFrame, score: Callable[[list[str]], list[float]], key: str, text: str, k: int = 3) -> DataFrame:
-    """The k best of a short candidate list by an injected scorer; ties keep the smaller key."""
-    rows = found.select(key, text).orderBy(key).collect()
+    """The k best of a short candidate list by an injected scorer; ties keep the smaller key.
+
+    The list is what a search found: more than MOST_CANDIDATES of it are an error, as a scorer reads them one by one.
+    """
+    rows = sorted(bounded_rows(found.select(key, text), MOST_CANDIDATES, "the list to rerank"), key=lambda r: r[0])
     ranked = sorted(zip(score([r[1] for r in rows]), [r[0] for r in rows]), key=lambda x: (-x[0], x[1]))[:k]
     kind = found.schema[key].dataType.simpleString()
     return found.sparkSession.createDataFrame([(n + 1, i, float(s)) for n, (s, i) in enumerate(ranked)], f"puesto int, {key} {kind}, puntos double")

@@ -50,7 +50,7 @@ def area_km2(ring: Column) -> Column:
 
 def interior_point(ring: Column) -> Column:
     """(lat, lon) in the middle of the widest inner span at the mean latitude; null for fewer than three vertices."""
-    lat = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
+    lat = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.nullif(F.size(ring), F.lit(0))
     shifted = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
 
     def cut(a: Column, b: Column) -> Column:
@@ -102,18 +102,22 @@ def convex_hull(points: list[tuple[float, float]], least: int = 3) -> list[tuple
     return chain(unique) + chain(unique[::-1])
 
 
-def nearest_within(points: DataFrame, key: str, targets: DataFrame, target_key: str, reach: float) -> DataFrame:
+def nearest_within(points: DataFrame, key: str, targets: DataFrame, target_key: str, reach: float, same: str | None = None) -> DataFrame:
     """(key, target_key, metros): the nearest target within reach of each point, ties to the smaller key.
 
+    same: a column of points that must equal the target's key.
+
     Both sides carry the cell of a grid as wide as the reach; targets are copied to the nine cells around, so the join is
     an equi-join on cells.
     """
     size_y, size_x = reach / M_LAT, reach / M_LON
-    p = points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.floor(F.col("lat") / size_y).alias("cy"), F.floor(F.col("lon") / size_x).alias("cx"))
+    p = points.select(key, *([F.col(same).alias("__same")] if same else []), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.floor(F.col("lat") / size_y).alias("cy"), F.floor(F.col("lon") / size_x).alias("cx"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     q = targets.select(target_key, F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.explode(around).alias("o"))
     q = q.select(target_key, "qlat", "qlon", (F.floor(F.col("qlat") / size_y) + F.col("o.i")).alias("cy"), (F.floor(F.col("qlon") / size_x) + F.col("o.j")).alias("cx"))
-    far = p.join(q, ["cy", "cx"]).withColumn("metros", metres(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon"))).where(F.col("metros") < reach)
+    met = p.join(q, ["cy", "cx"])
+    met = met.where(F.col("__same") == F.col(target_key)) if same else met
+    far = met.withColumn("metros", metres(F.col("plat"), F.col("plon"), F.col("qlat"), F.col("qlon"))).where(F.col("metros") < reach)
     return far.groupBy(key).agg(F.min(F.struct("metros", target_key)).alias("m")).select(key, F.col(f"m.{target_key}").alias(target_key), F.col("m.metros").alias("metros"))
 
 

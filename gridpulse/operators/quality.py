@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.operators.geo import metres, nearest_within
+from gridpulse.operators.spatial import contains
+
+OWN_M, ANY_M, LINES_M = 800.0, 500.0, 3_000.0
+REPAIR_S, ALARM_S = 2 * 3600, 26 * 3600
+
 
 def finding(rows: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
     return rows.select(F.lit(check).alias("control"), key.cast("string").alias("clave"), detail.cast("string").alias("detalle"))
@@ -39,3 +45,31 @@ def stale(rows: DataFrame, stamp: str, now: int, warn_s: int, what: str) -> Data
 def repaired(cache: DataFrame, offending: DataFrame, key: str) -> DataFrame:
     """The cache without the keys of offending rows."""
     return cache.join(offending.select(key).distinct(), key, "left_anti")
+
+
+def misplaced(points: DataFrame, regions: DataFrame, ring: str) -> DataFrame:
+    """(control, id) of points outside their own municipality by more than OWN_M, or, without one, in none and more than ANY_M from all.
+
+    points: id, lat, lon, municipio; regions: zona_id, municipio and a ring. The distance is that to the nearest vertex,
+    looked up through grid cells as wide as the limit, so no point meets all vertices.
+    """
+    inside = contains(points, "id", regions, "zona_id", ring).join(regions.select(F.col("zona_id").alias("id_r"), "municipio"), "id_r").select(F.col("id_p").alias("id"), "municipio").distinct()
+    vertices = regions.select("municipio", F.explode(ring).alias("v")).select("municipio", F.col("v.lat").alias("lat"), F.col("v.lon").alias("lon")).distinct()
+    known = regions.select("municipio").distinct()
+    at_home = nearest_within(points, "id", vertices, "municipio", OWN_M, same="municipio").select("id").unionByName(inside.join(points.select("id", "municipio"), ["id", "municipio"]).select("id"))
+    outside = points.join(known, "municipio", "left_semi").select("id").distinct().join(at_home, "id", "left_anti").select(F.lit("fuera de su municipio").alias("control"), "id")
+    somewhere = nearest_within(points, "id", vertices, "municipio", ANY_M).select("id").unionByName(inside.select("id"))
+    nowhere = points.join(known, "municipio", "left_anti").select("id").distinct().join(somewhere, "id", "left_anti").select(F.lit("fuera de la ciudad").alias("control"), "id")
+    return outside.unionByName(nowhere)
+
+
+def far_lines(rows: DataFrame, key: str, lines: str) -> DataFrame:
+    """(key, km) of rows whose lines' mean vertex is more than LINES_M from their point (lat, lon)."""
+    n = F.nullif(F.size(lines), F.lit(0))
+    mean = lambda f: F.aggregate(lines, F.lit(0.0), lambda s, p: s + p[f]) / n
+    far = rows.where(n > 0).select(key, metres(mean("lat"), mean("lon"), F.col("lat"), F.col("lon")).alias("m")).where(F.col("m") > LINES_M)
+    return far.select(key, F.round(F.col("m") / 1000, 1).alias("km")).distinct()
+
+
+def age_level(age: Column) -> Column:
+    return F.when(age.isNull(), "falta").when(age > ALARM_S, "alarma").when(age > REPAIR_S, "reparar").otherwise("bien")

@@ -53,10 +53,10 @@ def zone_points(spark, d):
 
 
 def due_geometry(spark, d):
-    """Circuits still to be drawn: not cached and tried fewer than three times."""
+    """Circuits still to be drawn: not cached (here: none of block 1) and tried (here: restored in block 4) fewer than three times."""
     v = verdicts(spark, d)
-    tried = v.groupBy("codigo").agg(F.count("*").alias("n"))
-    return enrich.due(v, v.where("bloque = 1").select("codigo"), tried, "codigo", 60)
+    tried = v.where("bloque = 4 AND estado = 'con servicio'").groupBy("codigo").agg(F.count("*").alias("n"))
+    return enrich.due(v, v.where("bloque = 1").select("codigo"), tried, "codigo")
 
 
 QUERIES = {f.__name__: f for f in (weekly_rota, longest_outages, pending_embeddings, zone_points, due_geometry)}
@@ -70,5 +70,5 @@ SQL = {
  f AS (SELECT zona_id, min((lat, lon)) AS p FROM z JOIN b USING (clave) WHERE lat > 23.3 GROUP BY zona_id), p AS (SELECT zona_id, lat, lon FROM z JOIN b USING (clave) WHERE zona_id NOT IN (SELECT zona_id FROM f)),
  m AS (SELECT zona_id, median(lat) AS a, median(lon) AS o FROM p GROUP BY zona_id)
  SELECT zona_id, round(p[1], 6) AS lat, round(p[2], 6) AS lon, 'manual' AS via FROM f UNION ALL SELECT zona_id, round(avg(lat), 6), round(avg(lon), 6), 'calles' FROM p JOIN m USING (zona_id) WHERE sqrt(((lat - a) * 111000) ** 2 + ((lon - o) * 102000) ** 2) < 2000 GROUP BY zona_id""",
-    "due_geometry": f"WITH {_h._VERDICTS} SELECT DISTINCT codigo FROM v WHERE codigo NOT IN (SELECT codigo FROM v WHERE bloque = 1) AND codigo NOT IN (SELECT codigo FROM v GROUP BY codigo HAVING count(*) >= 60)",
+    "due_geometry": f"WITH {_h._VERDICTS} SELECT DISTINCT codigo FROM v WHERE codigo NOT IN (SELECT codigo FROM v WHERE bloque = 1) AND codigo NOT IN (SELECT codigo FROM v WHERE bloque = 4 AND estado = 'con servicio' GROUP BY codigo HAVING count(*) >= 3)",
 }

@@ -99,7 +99,9 @@ def valid_reports(spark, d):
 
 
 def stream_dedupe(spark, d):
-    return live.drained(live.deduplicated(live.stream_of(spark, d, "events").select("event_id", "event_type"), "event_id"))
+    """The stamps of the table span a month, so the whole table is within the watermark."""
+    e = live.stream_of(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return live.drained(live.deduplicated(e, "event_id", "ts", "800 days").select("event_id", "event_type"))
 
 
 def stream_hourly(spark, d):

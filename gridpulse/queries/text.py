@@ -213,7 +213,7 @@ SQL = {
     "classify_post": f"SELECT message_id, {_POST} AS tipo, {_STATE} AS estado, {_TAG} AS etiqueta, {_has('texto', t.RELEVANT)} AS relevante FROM {_CANAL} WHERE texto IS NOT NULL",
     "classify_comment": f"""SELECT * FROM (SELECT message_id, {_COMMENT} AS tipo, CASE WHEN len({_BLOCKS}) = 1 THEN CAST({_BLOCKS}[1] AS INT) END AS bloque,
  CASE WHEN regexp_extract(texto, '(?i){t.CLAIMED}', 1) <> '' THEN CAST(regexp_extract(texto, '(?i){t.CLAIMED}', 1) AS INT) * CASE WHEN starts_with(lower(regexp_extract(texto, '(?i){t.CLAIMED}', 2)), 'd') THEN 24 ELSE 1 END END AS horas,
- coalesce(length(trim(texto)) >= 12 AND NOT {_has("texto", "^[^a-zA-Z0-9_]*(gracias|buenos d[ií]as|buenas (tardes|noches)|hola)[^a-zA-Z0-9_]*$")}, false) AS promising FROM {_COMMENTS}) WHERE tipo IS NOT NULL OR horas IS NOT NULL OR promising""",
+ coalesce(length(regexp_replace(texto, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) >= 12 AND NOT regexp_matches(regexp_replace(texto, '^[\\s\\p{{Z}}]+', ''), '^@|configura tu @username|bienvenid|para evitar ser silenciad', 'i'), false) AS promising FROM {_COMMENTS}) WHERE tipo IS NOT NULL OR horas IS NOT NULL OR promising""",
     "bulletin_hours": f"""SELECT DISTINCT message_id, clave, horas, por FROM (
  SELECT message_id, regexp_extract(m, '{t.BLOCK_HOURS}', 1) AS clave, {_HOURS.format(p=t.BLOCK_HOURS, h=2, k=3)} AS horas, 'bloque' AS por FROM (SELECT message_id, unnest(regexp_extract_all(texto, '{t.BLOCK_HOURS}')) AS m FROM {_CANAL}) WHERE CAST(regexp_extract(m, '{t.BLOCK_HOURS}', 1) AS INT) BETWEEN 1 AND 6
  UNION ALL

@@ -1,19 +1,19 @@
 """Incremental ingestion and keyed writes: high-water mark, latest version, merge, retention, registry, validated posts.
 
-Tables are Parquet directories; a write goes to a new directory beside the old one and is renamed, so readers never see
-half a table.
+Tables are Parquet directories on any file system; a write goes to a new directory beside the old one and is renamed, so
+readers never see half a table.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridpulse.operators.history import thinned
+
 BOX = (-82.70, 22.90, -81.90, 23.35)
 
 
@@ -39,15 +39,24 @@ def latest_version(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.withColumn("__r", F.struct(*rows.columns)).groupBy(*keys).agg(F.max_by("__r", F.struct(*order)).alias("__r")).select("__r.*")
 
 
-def merged(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert: new rows replace stored ones of the same key; repeated new rows count once."""
-    fresh = new.dropDuplicates(keys)
+def merged(stored: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Upsert: new rows replace stored ones of the same key; of several new rows of a key the greatest by order stands.
+
+    Without an order the greatest by all columns stands, so the result is the same in every run.
+    """
+    fresh = latest_version(new, keys, order or [c for c in new.columns if c not in keys] or keys).select(*new.columns)
     return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
-def registry(stored: DataFrame, found: DataFrame, key: str, stamp: str, oldest: Column) -> DataFrame:
-    """Keyed registry: found rows are added or replaced, rows no longer found are resolved and go, old ones expire."""
-    return found.unionByName(stored.limit(0)).where(F.col(stamp) >= oldest).dropDuplicates([key])
+def registry(stored: DataFrame, checked: DataFrame, key: str, stamp: str, oldest: Column, wrong: str = "wrong") -> DataFrame:
+    """Keyed registry: checked rows that are wrong are added or replaced, checked ones that agree are resolved and go.
+
+    Stored rows that were not checked this time stay; rows older than the limit, or without a stamp, expire. checked has the
+    columns of stored and a boolean; of several rows of a key the newest stands.
+    """
+    seen = latest_version(checked, [key], [stamp, wrong])
+    kept = stored.join(seen.select(key), key, "left_anti")
+    return kept.unionByName(seen.where(F.col(wrong)).select(*stored.columns)).where(F.col(stamp) >= oldest)
 
 
 def retained(rows: DataFrame, stamp: str, oldest: Column) -> DataFrame:
@@ -60,13 +69,37 @@ def record(stored: int | None, current: int) -> int:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Replaces the table at a local or mounted path by df in one rename."""
-    at, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(at, path)
-    shutil.rmtree(old, ignore_errors=True)
+    """Replaces the table at a path of any file system by df, by renames of that file system.
+
+    If the second rename fails the old table is put back. A driver that dies between the two leaves the old table under
+    path.old-*, which recovered() puts back before the next read or write.
+    """
+    spark = df.sparkSession
+    recovered(spark, path)
+    name = uuid.uuid4().hex
+    at, old, here = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new-{name}", f"{path}.old-{name}", path))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.parquet(at.toString())
+    there = fs.exists(here)
+    if there and not fs.rename(here, old):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(at, here):
+        if there:
+            fs.rename(old, here)
+        raise OSError(f"can't publish {path}")
+    if there:
+        fs.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Puts back a table that a publication moved away and did not replace; True if there was one."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here):
+        return False
+    left = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*")) or []
+    newest = max(left, key=lambda f: f.getModificationTime(), default=None)
+    return newest is not None and fs.rename(newest.getPath(), here)
 
 
 def features(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -91,6 +124,15 @@ def valid_reports(posts: DataFrame) -> DataFrame:
     return posts.where(F.col("lat").between(s, n) & F.col("lon").between(w, e)).withColumn("tipo", kind).withColumn("direccion", F.left(F.btrim("direccion"), F.lit(140)))
 
 
+def accepted(posts: DataFrame, key: str, t: str, tie: str, window: int, most: int, salt: str) -> DataFrame:
+    """Valid posts under the rate limit, with the sender's address salted and hashed: the whole flow of a post.
+
+    A post without a sender can't be counted and is refused, as the reference does when its store does not answer.
+    """
+    known = posts.where(F.col(key).isNotNull()).withColumn(key, F.sha2(F.concat(F.col(key), F.lit(salt)), 256))
+    return thinned(known, key, t, tie, window, most)
+
+
 def valid_suggestions(posts: DataFrame) -> DataFrame:
     """Suggestions with a title of at least five characters; title and detail are cut at 120 and 2000."""
     return posts.where(F.length(F.btrim("titulo")) >= 5).withColumn("titulo", F.left(F.btrim("titulo"), F.lit(120))).withColumn("detalle", F.left(F.btrim("detalle"), F.lit(2000)))

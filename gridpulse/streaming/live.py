@@ -43,8 +43,12 @@ def extracted(messages: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
     return events_of(messages.dropDuplicates(["chat", "message_id"]), aliases)
 
 
-def deduplicated(events: DataFrame, key: str) -> DataFrame:
-    return events.dropDuplicates([key])
+def deduplicated(events: DataFrame, key: str, stamp: str, late: str) -> DataFrame:
+    """Each key once. The key of an event is kept until `late` has passed since its stamp, so state is bounded.
+
+    late must cover the greatest lateness of a source, as rows behind it are left out.
+    """
+    return events.withWatermark(stamp, late).dropDuplicatesWithinWatermark([key])
 
 
 def hourly(events: DataFrame, stamp: str, kind: str, late: str = "2 days") -> DataFrame:
@@ -52,25 +56,43 @@ def hourly(events: DataFrame, stamp: str, kind: str, late: str = "2 days") -> Da
     return events.withWatermark(stamp, late).groupBy(F.window(stamp, "1 hour").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hora"), kind, "n")
 
 
-def rate_limited(posts: DataFrame, key: str, seconds: str, window: int, most: int) -> DataFrame:
+#: Posts of one sender that a trigger judges in order; a trigger with more of them fails rather than judging out of order.
+MOST_IN_TRIGGER = 1_000_000
+
+
+def rate_limited(posts: DataFrame, key: str, seconds: str, window: int, most: int, late: str = "1 hour") -> DataFrame:
     """Accepted posts of a stream: fewer than `most` accepted ones of the key in the window before.
 
-    State is the accepted times of the last window, at most `most` of them, and ages out when a key falls silent.
+    All posts of a key in a trigger are judged in order of time, whatever the number of Arrow batches they come in. State is
+    the accepted times of the last window, at most `most` of them; it is removed when the watermark passes the window
+    after the last post. Posts behind the watermark are left out, as their turn is over.
     """
     schema = posts.schema
+    stamped = posts.withColumn("__at", F.timestamp_seconds(seconds)).withWatermark("__at", late)
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
+        parts, n = [], 0
         for b in batches:
-            b = b.sort_values(list(b.columns[b.columns == seconds]) + [c for c in b.columns if c not in (seconds, key)])
-            keep = []
-            for s in b[seconds]:
-                held = [h for h in held if h > s - window]
-                ok = len(held) < most
-                if ok:
-                    held.append(int(s))
-                keep.append(ok)
-            yield b[pd.Series(keep, index=b.index, dtype=bool)]
+            parts.append(b)
+            n += len(b)
+            if n > MOST_IN_TRIGGER:
+                raise ValueError("one sender has too many posts in a trigger; take fewer files at a time")
+        rows = pd.concat(parts).drop(columns="__at")
+        rows = rows.sort_values([seconds, *(c for c in rows.columns if c not in (seconds, key))], kind="stable")
+        keep = []
+        for s in rows[seconds]:
+            held = [h for h in held if h > s - window]
+            ok = len(held) < most
+            if ok:
+                held.append(int(s))
+            keep.append(ok)
+        yield rows[keep]
         state.update((held,))
+        last = max(held, default=0) * 1000
+        state.setTimeoutTimestamp(max(last + window * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return posts.groupBy(key).applyInPandasWithState(step, schema, "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return stamped.groupBy(key).applyInPandasWithState(step, schema, "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
