@@ -43,11 +43,14 @@ def extracted(messages: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
     return events_of(messages.dropDuplicates(["chat", "message_id"]), aliases)
 
 
-def deduplicated(events: DataFrame, key: str, stamp: str, late: str) -> DataFrame:
-    """Each key once. The key of an event is kept until `late` has passed since its stamp, so state is bounded.
+def deduplicated(events: DataFrame, key: str, stamp: str | None = None, late: str = "1 day") -> DataFrame:
+    """Each key once. With a stamp a key is kept until `late` has passed since it, so state is bounded.
 
-    late must cover the greatest lateness of a source, as rows behind it are left out.
+    late must cover the greatest lateness of a source, as rows behind it are left out. Without a stamp keys are kept for
+    ever, for sources whose rows may be of any age.
     """
+    if stamp is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(stamp, late).dropDuplicatesWithinWatermark([key])
 
 
