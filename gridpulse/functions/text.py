@@ -255,15 +255,20 @@ def circuit_mentions(text: Column) -> Column:
     return F.filter(found, lambda m: F.size(m["codigos"]) > 0)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def leading_codes(text: Column) -> Column:
     """Struct (codigos, resto): codes at the start; bare numbers need three or four digits and a separator."""
-    t = F.btrim(text)
+    t = stripped(text)
     gap = r"(?:\s*/\s*|\s+[yeYE]\s+)"
     lettered = rf"^((?:[A-Za-z]{{1,3}}\d{{1,4}})(?:{gap}(?:[A-Za-z]{{1,3}}\d{{1,4}}|\d{{3,4}}))*)\b\s*[-–:]?\s*(.*)"
     bare = rf"^((?:\d{{3,4}})(?:{gap}(?:[A-Za-z]{{1,3}}\d{{1,4}}|\d{{3,4}}))*)\s*[-–:]\s*(.*)"
     pattern = F.when(t.rlike(lettered), F.lit(1)).when(t.rlike(bare), F.lit(2)).otherwise(F.lit(0))
     pick = lambda g: F.when(pattern == 1, F.regexp_extract(t, lettered, g)).when(pattern == 2, F.regexp_extract(t, bare, g))
-    return F.struct(codes_of(pick(1)).alias("codigos"), F.coalesce(F.btrim(pick(2)), t).alias("resto"))
+    return F.struct(codes_of(pick(1)).alias("codigos"), F.coalesce(stripped(pick(2)), t).alias("resto"))
 
 
 def code_written(code: Column, text: Column) -> Column:

@@ -31,6 +31,15 @@ def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.sqrt(dy * dy + dx * dx)
 
 
+def in_boxes(points: DataFrame, shapes: DataFrame, box: str, cell: float = 0.02) -> DataFrame:
+    """Points (lat, lon) with the shapes whose box (w, s, e, n) holds them: an equi-join on grid cells, then the exact test."""
+    p = points.withColumns({"__cy": F.floor(F.col("lat") / cell), "__cx": F.floor(F.col("lon") / cell)})
+    b = F.col(box)
+    rows, cols = F.sequence(F.floor(b["s"] / cell), F.floor(b["n"] / cell)), F.sequence(F.floor(b["w"] / cell), F.floor(b["e"] / cell))
+    s = shapes.where(b["s"].isNotNull() & b["w"].isNotNull()).withColumn("__cy", F.explode(rows)).withColumn("__cx", F.explode(cols))
+    return p.join(s, ["__cy", "__cx"]).where(F.col("lon").between(b["w"], b["e"]) & F.col("lat").between(b["s"], b["n"])).drop("__cy", "__cx")
+
+
 def border_distance(lat: Column, lon: Column, ring: Column, step: int = 3) -> Column:
     """Metres to the nearest of every third vertex."""
     some = F.filter(ring, lambda p, i: i % step == 0)

@@ -11,11 +11,15 @@ from gridpulse.functions import text as t
 def contained_names(rows: DataFrame, key: str, text: Column, names: DataFrame, name_key: str, name: Column) -> DataFrame:
     """(key, name_key, clave): every name that stands as whole words in the folded text.
 
-    A text meets only the names whose first word it holds, then the whole name is looked for; no pair of all rows arises.
+    A text meets only the names whose rarest word (among all names) it holds, then the whole name is looked for, so a word
+    that many names share ("alturas", "villa") brings nobody together.
     """
     clean = lambda c: F.btrim(F.regexp_replace(t.fold(c), "[^a-z0-9]+", " "))
     texts = rows.select(F.col(key), clean(text).alias("__t")).where("__t <> ''").distinct()
-    lists = names.select(F.col(name_key), clean(name).alias("clave")).where("clave <> ''").withColumn("__w", F.substring_index("clave", " ", 1))
+    lists = names.select(F.col(name_key), clean(name).alias("clave")).where("clave <> ''")
+    each = lists.select(name_key, "clave", F.explode(F.array_distinct(F.split("clave", " "))).alias("__w"))
+    used = each.groupBy("__w").agg(F.count("*").alias("__n"))
+    lists = each.join(used, "__w").groupBy(name_key, "clave").agg(F.min_by("__w", F.struct("__n", F.length("__w") * -1, "__w")).alias("__w"))
     words = texts.select(key, "__t", F.explode(F.array_distinct(F.split("__t", " "))).alias("__w"))
     hit = F.concat(F.lit(" "), "__t", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("clave"), F.lit(" ")))
     return words.join(lists, "__w").where(hit).select(key, name_key, "clave").distinct()

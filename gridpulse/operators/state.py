@@ -85,11 +85,16 @@ def national_override(state: DataFrame, since: int | None) -> DataFrame:
 
 
 def run_start(events: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
-    """(key, value, desde): the last value and where its current run began."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("__v", value).withColumn("__turn", F.coalesce(F.col("__v") != F.lag("__v").over(w), F.lit(True)))
-    at = F.struct(*order)
-    return rows.groupBy(key).agg(F.max_by("__v", at).alias("value"), F.max(F.when(F.col("__turn"), F.col(order[0]))).alias("desde"))
+    """(key, value, desde): the last value and where its current run began; value is never null and takes few values.
+
+    The run begins at the first row of the last value behind the last row of any other one. Both are plain aggregates, so a
+    key with a third of all rows is never sorted.
+    """
+    rows = events.select(key, value.alias("__v"), F.struct(*order).alias("__at"))
+    last = rows.groupBy(key, "__v").agg(F.max("__at").alias("__m")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__m", "__v")), False).alias("__l"))
+    top = last.select(key, F.get("__l", F.lit(0))["__v"].alias("value"), F.get("__l", F.lit(1))["__m"].alias("__other"))
+    run = rows.join(top, key).where((F.col("__v") == F.col("value")) & (F.col("__other").isNull() | (F.col("__at") > F.col("__other"))))
+    return run.groupBy(key, "value").agg(F.min("__at").alias("__b")).select(key, "value", F.col("__b")[order[0]].alias("desde"))
 
 
 def effective_status(state: Column, state_at: Column, block_state_: Column, block_since: Column, now: Column) -> Column:

@@ -8,7 +8,6 @@ from gridpulse.operators import geo as g
 from gridpulse.operators import vectors as v
 from gridpulse.operators.history import merged_runs
 from gridpulse.operators.spatial import contains
-from gridpulse.plans.lineage import small
 from gridpulse.sources.tables import table
 
 BOX = (-82.70, 22.90, -81.90, 23.35)
@@ -34,9 +33,9 @@ def nearest_barrio(spark, d):
 
 
 def border_distances(spark, d):
-    """Reports near a zone's border, by every third vertex of the rings; the zones are a bounded table."""
-    z = small(zones(spark, d).select("zona_id", "anillo", g.bbox(F.col("anillo"), 0.01).alias("b")), 20_000)
-    near = points(spark, d).join(z, F.col("lon").between(F.col("b.w"), F.col("b.e")) & F.col("lat").between(F.col("b.s"), F.col("b.n")))
+    """Reports near a zone's border, by every third vertex of the rings; points meet the zones whose box covers their grid cell."""
+    z = zones(spark, d).select("zona_id", "anillo", g.bbox(F.col("anillo"), 0.01).alias("b"))
+    near = g.in_boxes(points(spark, d), z, "b")
     m = near.select("id", "zona_id", F.round(g.border_distance(F.col("lat"), F.col("lon"), F.col("anillo")), 3).alias("metros"))
     return m.where("metros < 800")
 

@@ -110,9 +110,11 @@ def resolve_cascade(spark, d):
 def canonical_towns(spark, d):
     """Every canonical municipality contained in the raw name, else the raw name itself."""
     raw = table(spark, d, "estado").select("municipio").where("municipio IS NOT NULL").distinct()
-    names = table(spark, d, "barrios").where("municipio IS NOT NULL").select(F.col("municipio").alias("canon")).distinct()
-    x = raw.join(small(names, 1_000), t.fold(F.col("municipio")).contains(t.fold(F.col("canon"))), "left")
-    return x.select("municipio", F.coalesce("canon", "municipio").alias("canon"))
+    names = table(spark, d, "barrios").where("municipio IS NOT NULL").select(F.col("municipio").alias("canon")).distinct().withColumn("c", t.fold(F.col("canon"))).where("c <> ''").withColumn("k", F.left("c", F.lit(3)))
+    # names join by the three letters they begin with, wherever these stand in the raw name
+    keyed = raw.withColumn("f", t.fold(F.col("municipio"))).where("f <> ''").select("municipio", "f", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(f)), i -> transform(sequence(1, 3), n -> substring(f, i, n)))))")).alias("k"))
+    hit = keyed.join(names, "k").where(F.col("f").contains(F.col("c"))).select("municipio", "canon").distinct()
+    return raw.join(hit, "municipio", "left").select("municipio", F.coalesce("canon", "municipio").alias("canon"))
 
 
 def alias_fallback(spark, d):

@@ -63,7 +63,7 @@ def classify_post(spark, d):
 
 def extract_events(spark, d):
     e = events_of(messages(spark, d), town_aliases(spark, d))
-    return e.groupBy("chat", "tipo", "bloque", "causa").agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("messages"), F.sum(F.size("zonas")).alias("zones"), F.sum(F.size("municipios")).alias("towns"))
+    return e.select("chat", "message_id", "tipo", "bloque", "causa", joined(F.col("zonas")).alias("zonas"), joined(F.col("municipios")).alias("municipios"))
 
 
 def classify_comment(spark, d):
