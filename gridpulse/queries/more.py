@@ -65,7 +65,7 @@ _KEY = lambda x: f"regexp_replace(regexp_replace(regexp_replace({_fold(x)}, '\\(
 
 SQL = {
     "longest_outages": f"WITH {_h._VERDICTS}, l AS (SELECT *, row_number() OVER (PARTITION BY codigo ORDER BY t DESC, id DESC) AS n FROM v) SELECT codigo, {_h._NOW} - t AS segundos FROM l WHERE n = 1 AND estado = 'sin servicio' AND {_h._NOW} - t <= 86400 ORDER BY segundos DESC, codigo LIMIT 5",
-    "pending_embeddings": "SELECT doc_id AS id, sha1(text) AS hash, 5 AS ancho FROM documents WHERE source = 'parte_oficial' AND text IS NOT NULL AND doc_id % 2 <> 0",
+    "pending_embeddings": "SELECT DISTINCT doc_id AS id, sha1(text) AS hash, 5 AS ancho FROM documents WHERE text IS NOT NULL AND NOT coalesce(doc_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) AND rpad(text, n_chars::INT, ' ') = text, false)",
     "zone_points": f"""WITH z AS (SELECT zona_id, {_KEY("regexp_replace(zona, ' (norte|sur|este|oeste)$', '')")} AS clave FROM zonas_cuadrantes), b AS (SELECT {_KEY('nombre')} AS clave, lat, lon FROM barrios WHERE lat IS NOT NULL),
  f AS (SELECT zona_id, min((lat, lon)) AS p FROM z JOIN b USING (clave) WHERE lat > 23.3 GROUP BY zona_id), p AS (SELECT zona_id, lat, lon FROM z JOIN b USING (clave) WHERE zona_id NOT IN (SELECT zona_id FROM f)),
  m AS (SELECT zona_id, median(lat) AS a, median(lon) AS o FROM p GROUP BY zona_id)

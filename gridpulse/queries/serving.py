@@ -133,7 +133,7 @@ SQL = {
     "trend": f"SELECT * FROM ({_r.SQL['daily_summary']}) ORDER BY dia DESC LIMIT 14",
     "bot_state": f"WITH n AS (SELECT id, {_h._F} AS t, tipo, bloque FROM eventos WHERE fecha IS NOT NULL ORDER BY t DESC, id DESC LIMIT 20) SELECT bloque, tipo, t, id FROM (SELECT *, row_number() OVER (PARTITION BY bloque ORDER BY t DESC, id DESC, tipo DESC) AS k FROM n) WHERE k = 1",
     "incremental_pull": f"SELECT DISTINCT chat, message_id FROM mensajes m WHERE texto IS NOT NULL AND message_id > coalesce((SELECT max(message_id) FROM mensajes s WHERE s.chat = m.chat AND s.texto IS NOT NULL AND s.message_id <= {MARK}), -1)",
-    "upsert": "SELECT DISTINCT id, CASE WHEN id % 2 = 0 THEN 'con' ELSE tipo END AS tipo FROM reportes",
+    "upsert": f"WITH d AS (SELECT DISTINCT id, tipo, direccion, {_h._F} AS t FROM reportes), n AS (SELECT DISTINCT id FROM d WHERE t >= (SELECT median(t) FROM d)) SELECT id, tipo FROM (SELECT DISTINCT id, tipo, direccion FROM d) WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'con' FROM n",
     "latest_versions": "SELECT chat, message_id, max(coalesce(procesado, false)) AS procesado FROM mensajes GROUP BY ALL",
     "retention": f"SELECT DISTINCT id, {_h._F} AS t FROM reportes WHERE {_h._F} >= 1764547200",
     "valid_reports": "SELECT DISTINCT id, CASE WHEN tipo IN ('sin', 'con') THEN tipo ELSE 'sin' END AS tipo, CASE WHEN direccion IS NOT NULL THEN least(length(trim(direccion)), 140) END AS largo FROM reportes WHERE lat BETWEEN 22.9 AND 23.35 AND lon BETWEEN -82.7 AND -81.9",

@@ -230,5 +230,5 @@ SELECT zona, count(*) AS n, count(DISTINCT item_id) AS items FROM (SELECT item_i
     "search_text": f"SELECT zona_id, zona, municipio FROM zonas_cuadrantes WHERE contains({_fold('concat_ws(chr(32), zona, municipio)')}, 'alturas') ORDER BY zona_id LIMIT 8",
     "code_lookup": f"SELECT regexp_replace({_fold('codigo')}, '[^a-z0-9]', '', 'g') AS clave, max(codigo) AS codigo, count(*) AS n FROM (SELECT unnest(zonas) AS codigo FROM eventos) WHERE codigo IS NOT NULL GROUP BY ALL",
     "fragment_texts": """SELECT message_id, texto, sha1(texto) AS hash FROM (SELECT DISTINCT message_id, concat_ws('. ', 'Comentario ' || reporta, 'en ' || trim(lugar), 'bloque ' || bloque, 'desde hace ' || horas || ' h') AS texto
- FROM comentarios_llm WHERE reporta IS NOT NULL AND reporta <> 'irrelevante' AND trim(lugar) <> '')""",
+ FROM comentarios_llm WHERE regexp_replace(lugar, '[\\s\\p{Z}]+', '', 'g') <> '')""",
 }
