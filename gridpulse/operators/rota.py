@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions import text as t
 
-# Months of the rota's headers.
+# Months of the rota's headers, and the patterns of headers and unmarked circuits.
 MONTHS = [
     ("enero", 1), ("febrero", 2), ("marzo", 3), ("abril", 4), ("mayo", 5), ("junio", 6), ("julio", 7), ("agosto", 8),
     ("septiembre", 9), ("setiembre", 9), ("octubre", 10), ("noviembre", 11), ("diciembre", 12),
@@ -65,3 +65,9 @@ def current_rota(rotas: DataFrame, today: date) -> DataFrame:
     rank = F.struct(live.alias("v"), F.col("hasta"), F.col("publicado"), F.col("message_id"))
     best = rotas.agg(F.max_by(F.struct(*rotas.columns, live.alias("vigente")), rank).alias("r")).where("r IS NOT NULL")
     return best.select("r.*")
+
+
+def flagged(catalog: DataFrame, current: DataFrame) -> DataFrame:
+    """The catalogue with daf: the circuit stands in the rota in force; a rota that is over marks nothing."""
+    listed = current.where("vigente").select(F.explode("circuitos").alias("codigo")).distinct().withColumn("daf", F.lit(True))
+    return catalog.join(listed, "codigo", "left").withColumn("daf", F.coalesce("daf", F.lit(False)))

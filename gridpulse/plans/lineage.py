@@ -80,12 +80,3 @@ def blocks(df: DataFrame, size: Column, most: int) -> list[DataFrame]:
     total = df.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-int(total) // most))
     return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == b) for b in range(n)]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for steps that cost far more time than bytes.
-
-    A scan that already has that many stays as it is, so only inputs of a few splits are shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -116,7 +116,14 @@ def topk_batch(spark, d):
     return v.top_similar_batch(e, e.where("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("similitud", 6).alias("similitud"), F.col("n").cast("int").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (point_in_polygon, nearest_barrio, border_distances, zone_shapes, union_boxes, interior_points, hull_area, negative_space, run_merge, zone_centroids, line_merge, location_ladder, topk_similar, topk_filtered, similarity_cut, topk_batch)}
+def topk_index(spark, d):
+    """The same through an inverted-list index over all vectors, sixteen lists."""
+    e = embeddings(spark, d)
+    centres = v.centres_of(e, "embedding", 16)
+    return v.probed(v.indexed(e, "vec_id", "embedding", centres), e.where("vec_id % 50 = 0"), centres, "vec_id", "embedding").withColumn("similitud", F.round("similitud", 6))
+
+
+QUERIES = {f.__name__: f for f in (point_in_polygon, nearest_barrio, border_distances, zone_shapes, union_boxes, interior_points, hull_area, negative_space, run_merge, zone_centroids, line_merge, location_ladder, topk_similar, topk_filtered, similarity_cut, topk_batch, topk_index)}
 
 _P = "p AS (SELECT DISTINCT id, lat, lon FROM reportes WHERE lat BETWEEN 22.9 AND 23.35 AND lon BETWEEN -82.7 AND -81.9)"
 _E = "e AS (SELECT zona_id, bloque, anillo[i].lat AS y1, anillo[i].lon AS x1, anillo[i % len(anillo) + 1].lat AS y2, anillo[i % len(anillo) + 1].lon AS x2 FROM (SELECT zona_id, bloque, anillo, unnest(range(1, len(anillo) + 1)) AS i FROM zonas_cuadrantes))"

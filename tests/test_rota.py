@@ -65,3 +65,12 @@ def test_rerank_and_due(spark, rows):
     assert rows(enrich.reranked(f, lambda xs: [float(len(x)) for x in xs], "id", "x")) == [(1, 4, 4.0), (2, 1, 2.0), (3, 3, 2.0)]
     want, cache, tried = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "k string"), spark.createDataFrame([("a",)], "k string"), spark.createDataFrame([("b", 3), ("c", 2)], "k string, n int")
     assert rows(enrich.due(want, cache, tried, "k")) == [("c",)]
+
+
+def test_only_a_rota_in_force_marks_circuits(spark, rows):
+    from gridpulse.operators.rota import flagged
+
+    catalog = spark.createDataFrame([("AB1", 1), ("CD2", 2)], "codigo string, veces int")
+    current = lambda live: spark.createDataFrame([(["AB1", "AB1", "XX9"], live)], "circuitos array<string>, vigente boolean")
+    assert rows(flagged(catalog, current(True))) == [("AB1", 1, True), ("CD2", 2, False)]
+    assert rows(flagged(catalog, current(False))) == rows(flagged(catalog, current(True).limit(0))) == [("AB1", 1, False), ("CD2", 2, False)]
