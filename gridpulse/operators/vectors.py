@@ -90,8 +90,10 @@ PROBED = 0.8
 def unit_rows(vectors: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows that can be compared, their unit vectors): neither null, of another width, nor zero."""
     good = [i for i, v in enumerate(vectors) if v is not None and len(v) == (width or len(v)) and np.any(v)]
-    m = np.array([vectors.iloc[i] for i in good], float).reshape(len(good), -1)
-    return np.array(good, int), m / np.linalg.norm(m, axis=1, keepdims=True) if len(good) else m
+    if not good:
+        return np.empty(0, int), np.empty((0, width or 1))
+    m = np.array([vectors.iloc[i] for i in good], float)
+    return np.array(good, int), m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def centres_of(vectors: DataFrame, column: str, lists: int, sample: int = CENTRE_SAMPLE, rounds: int = 10) -> np.ndarray:
@@ -154,7 +156,7 @@ def probed(index: DataFrame, queries: DataFrame, centres: np.ndarray, key: str,
         _, q = unit_rows(a[column])
         _, m = unit_rows(b[column])
         keys, out = b[key].to_numpy(), []
-        for at in range(0, len(q) if len(keys) else 0, 512):
+        for at in range(0, len(q) if len(m) else 0, 512):
             sims = q[at : at + 512] @ m.T
             for name, s in zip(a["q"].iloc[at : at + 512], sims):
                 top = np.lexsort((keys, -s))[: k + 1]
