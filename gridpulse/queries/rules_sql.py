@@ -40,11 +40,11 @@ def _leading(x):
 
 _NAMED = f"list_concat(list_transform({_BLOCKS}, lambda b: CAST(b AS INT)), CASE WHEN coalesce(regexp_matches({_fold('texto')}, 'circuitos? de emergencia'), false) THEN [0] ELSE CAST([] AS INT[]) END)"
 _EVENTS = f"""tw AS (SELECT DISTINCT chat, message_id, t.municipio FROM mensajes m JOIN {_TOWNS} t ON regexp_matches({_fold('m.texto')}, '(^|[^a-z0-9_])' || t.alias || '($|[^a-z0-9_])')),
- tj AS (SELECT chat, message_id, string_agg(municipio, '|' ORDER BY municipio) AS municipios FROM tw GROUP BY ALL),
- zj AS (SELECT message_id, string_agg(zona, '|' ORDER BY i) AS zonas FROM {_ZONES} WHERE zona <> '' GROUP BY message_id),
+ tj AS (SELECT chat, message_id, string_agg(municipio, '|' ORDER BY municipio) AS municipios, count(*) AS nt FROM tw GROUP BY ALL),
+ zj AS (SELECT message_id, string_agg(zona, '|' ORDER BY i) AS zonas, count(*) AS nz FROM {_ZONES} WHERE zona <> '' GROUP BY message_id),
  ev AS (SELECT 'canal' AS chat, message_id, {_POST} AS tipo, unnest(CASE WHEN {_TOTAL} THEN [1, 2, 3, 4, 5, 6] WHEN len({_NAMED}) = 0 THEN [CAST(NULL AS INT)] ELSE {_NAMED} END) AS bloque, {_CAUSE} AS causa FROM {_CANAL} WHERE texto <> ''
   UNION ALL SELECT 'comentarios', message_id, {_COMMENT}, CASE WHEN len({_BLOCKS}) = 1 THEN CAST({_BLOCKS}[1] AS INT) END, NULL FROM {_COMMENTS} WHERE texto <> ''),
- events AS (SELECT ev.*, CASE WHEN ev.chat = 'canal' THEN coalesce(zonas, '') ELSE '' END AS zonas, coalesce(municipios, '') AS municipios FROM ev LEFT JOIN zj ON ev.message_id = zj.message_id LEFT JOIN tj ON ev.message_id = tj.message_id AND ev.chat = tj.chat WHERE tipo IS NOT NULL)"""
+ events AS (SELECT ev.*, CASE WHEN ev.chat = 'canal' THEN coalesce(zonas, '') ELSE '' END AS zonas, coalesce(municipios, '') AS municipios, CASE WHEN ev.chat = 'canal' THEN coalesce(nz, 0) ELSE 0 END AS nz, coalesce(nt, 0) AS nt FROM ev LEFT JOIN zj ON ev.message_id = zj.message_id LEFT JOIN tj ON ev.message_id = tj.message_id AND ev.chat = tj.chat WHERE tipo IS NOT NULL)"""
 _LINE = "regexp_replace(line, '^[^\\p{L}\\p{N}]+', '')"
 _ITEM_CODES, _ = _leading("trim(direccion)")
 _LINE_CODES, _LINE_REST = _leading(f"trim({_LINE})")
@@ -52,7 +52,8 @@ _HERE = "(SELECT DISTINCT item_id, direccion FROM estado WHERE direccion IS NOT
 
 SQL = {
     "street_forms": f"SELECT DISTINCT item_id, {_street('direccion')} AS street, {_key('direccion')} AS street_key FROM (SELECT DISTINCT item_id, direccion FROM estado WHERE direccion IS NOT NULL)",
-    "extract_events": f"WITH {_EVENTS} SELECT * FROM events",
+    "event_rows": f"WITH {_EVENTS} SELECT chat, message_id, tipo, bloque, causa, zonas, municipios FROM events",
+    "extract_events": f"WITH {_EVENTS} SELECT chat, tipo, bloque, causa, count(*) AS n, count(DISTINCT message_id) AS messages, CAST(sum(nz) AS BIGINT) AS zones, CAST(sum(nt) AS BIGINT) AS towns FROM events GROUP BY ALL",
     "stream_extract": f"WITH {_EVENTS} SELECT chat, tipo, bloque, causa, count(*) AS n FROM events GROUP BY ALL",
     "leading_codes": f"SELECT message_id, CAST(i - 1 AS INT) AS pos, array_to_string({_LINE_CODES}, '|') AS codigos, {_LINE_REST} AS resto FROM (SELECT message_id, unnest(string_split(coalesce(texto, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(texto, ''), chr(10)), 1) AS i FROM {_CANAL}) WHERE len({_LINE_CODES}) > 0",
     "code_evidence": f"""WITH e AS (SELECT DISTINCT message_id, unnest(zonas) AS codigo FROM eventos WHERE chat = 'canal'),

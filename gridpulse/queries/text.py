@@ -62,6 +62,12 @@ def classify_post(spark, d):
 
 
 def extract_events(spark, d):
+    e = events_of(messages(spark, d), town_aliases(spark, d))
+    return e.groupBy("chat", "tipo", "bloque", "causa").agg(F.count("*").alias("n"), F.count_distinct("message_id").alias("messages"), F.sum(F.size("zonas")).alias("zones"), F.sum(F.size("municipios")).alias("towns"))
+
+
+def event_rows(spark, d):
+    """The events themselves, with zones and municipalities in order."""
     e = events_of(messages(spark, d), town_aliases(spark, d))
     return e.select("chat", "message_id", "tipo", "bloque", "causa", joined(F.col("zonas")).alias("zonas"), joined(F.col("municipios")).alias("municipios"))
 
@@ -171,7 +177,7 @@ def code_lookup(spark, d):
     return e.groupBy(t.code_key(F.col("codigo")).alias("clave")).agg(F.max("codigo").alias("codigo"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fold_text, street_forms, towns_in, cause_of, blocks_in, zones_in, classify_post, extract_events, classify_comment, bulletin_hours, megawatts, circuit_mentions, leading_codes, code_evidence, validate_extraction, place_pieces, numbered_zones, clean_streets, fault_lines, fragment_texts, bulletin_texts, content_hash, ip_hashes, durations, search_text, code_lookup)}
+QUERIES = {f.__name__: f for f in (fold_text, street_forms, towns_in, cause_of, blocks_in, zones_in, classify_post, extract_events, event_rows, classify_comment, bulletin_hours, megawatts, circuit_mentions, leading_codes, code_evidence, validate_extraction, place_pieces, numbered_zones, clean_streets, fault_lines, fragment_texts, bulletin_texts, content_hash, ip_hashes, durations, search_text, code_lookup)}
 
 
 def _fold(x: str) -> str:
