@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions import text as t
 
+# The lines of fault bulletins.
+FAULT_TYPE = r"^[🚨🛑]\s*(.+?)\s*:"
+FAULT_TOWN = r"^📌\s*Municipios?\s*:\s*(.+)"
+FAULT_ADDRESS = r"^(?:[👉💥]\s*Direcci[oó]n|📈\s*Afecta)\s*:\s*(.+)"
 EXTRACTION = "tipo string, bloques array<int>, mw_deficit double, pct_restablecido double, circuitos array<struct<codigo:string, calles:string, municipio:string, estado:string, horas:double, causa:string>>"
 KINDS = ["afectacion", "restablecimiento", "averia", "deficit", "caida_sen", "daf", "otro"]
 
@@ -32,9 +36,9 @@ def fault_items(messages: DataFrame) -> DataFrame:
     address before any type line is ignored. One message's lines are ordered, never a whole table.
     """
     lines = messages.where(F.col("texto").rlike("[🚨🛑]")).select("message_id", F.posexplode(F.split("texto", "\n")).alias("pos", "line")).withColumn("line", F.btrim("line"))
-    kind = F.nullif(F.regexp_extract("line", r"^[🚨🛑]\s*(.+?)\s*:", 1), F.lit(""))
-    town = F.nullif(F.btrim(F.regexp_extract("line", r"^📌\s*Municipios?\s*:\s*(.+)", 1), F.lit(" .")), F.lit(""))
-    address = F.nullif(F.btrim(F.regexp_extract("line", r"^(?:[👉💥]\s*Direcci[oó]n|📈\s*Afecta)\s*:\s*(.+)", 1), F.lit(" .")), F.lit(""))
+    kind = F.nullif(F.regexp_extract("line", FAULT_TYPE, 1), F.lit(""))
+    town = F.nullif(F.btrim(F.regexp_extract("line", FAULT_TOWN, 1), F.lit(" .")), F.lit(""))
+    address = F.nullif(F.btrim(F.regexp_extract("line", FAULT_ADDRESS, 1), F.lit(" .")), F.lit(""))
     w = Window.partitionBy("message_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.select("message_id", "pos", kind.alias("kind"), town.alias("town"), address.alias("direccion"))
     run = marked.withColumn("tipo", F.last("kind", ignorenulls=True).over(w)).withColumn("__g", F.count("kind").over(w))
